@@ -76,3 +76,19 @@ select d.doc_id, case when d.text is null then null else coalesce(o.text, '') en
   coalesce(lines_in, 0)::bigint as lines_in, coalesce(lines_out, 0)::bigint as lines_out
 from documents d left join o on d.doc_id = o.doc_id
 """
+
+op6_chat_formatting = r"""
+with r as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (
+  select *, regexp_replace(replace(text, '\', '\b'), '(<\||</?s>|\[/?INST\]|<</?SYS>>|<(?:unk|pad|bos|eos|start_of_turn|end_of_turn)>)', '..\1', 'g') as longer
+  from r)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(len(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(12 + len(role) + 1 + len(longer) + 10 + 1)::bigint as formatted_chars
+from e group by conv_id
+"""
