@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ def canonical_json(records: DataFrame, id_col: str = "id", json_col: str = "raw"
     for m in mappings:
         mine = F.col("fingerprint") == hashlib.sha256(_shape_of(m).encode()).hexdigest()[:16]
         # the record's fields become columns of a one-row lambda, so that mappings stay the same SQL
-        fields = F.transform(F.array(F.from_json("raw", _json_schema(m))), lambda r, m=m: _applied(m, r))
+        fields = F.transform(F.array(F.from_json("raw", _json_schema(m))), partial(_applied, m))
         layout, turns = F.when(mine, m.name).otherwise(layout), F.when(mine, fields[0].cast(TURNS)).otherwise(turns)
     return rows.select("id", layout.alias("layout"), "fingerprint", turns.alias("turns"))
 
