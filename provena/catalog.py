@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from provena.plans import corpus_queries
+
+_ALL = [corpus_queries.r]
+QUERIES: dict = {k: v for x in _ALL for k, v in x.queries.items()}
+ORACLES: dict[str, str] = {k: v for x in _ALL for k, v in x.oracles.items()}
+FLAGSHIP = "audit_rollup"
