@@ -24,25 +24,28 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     rows = t.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    line = F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    line = F.btrim("raw", F.lit(" \t\n\x0b\x0c\r"))
     rows = rows.select("id", "th", "pos", line.alias("line")).where("line != ''")
     occ = F.struct(F.col("id").isNull().alias("last"), F.coalesce("id", F.lit(0)).alias("id"), F.col("th"), F.col("pos"))
     return rows.select(occ.alias("occ"), F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "line")
 
 
 def _halves() -> Column:
-    """Keys of which two lines share one at least if one edit leads from one to the other.
+    """``(side, key)`` pairs; lines one edit apart have one of them in common.
 
-    The edit falls in one half of the shorter line, so the other half stands unchanged
-    at the start or the end. A line takes the part of the shorter or of the longer.
+    Of two lines of n or n + 1 code points, m = n // 2 at least stand unchanged at the
+    start (side 0) or at the end (side 1). A line of 2m + 1 has m as its class, one of 2m
+    also m - 1, so that any two lines that may be one edit apart share a class.
     """
     n = F.length("line")
+    m = F.floor(n / 2).cast("int")
 
-    def keys(base: Column) -> list[Column]:
-        cut_at = F.floor(base / 2).cast("int")
-        return [F.xxhash64(F.lit("head"), base, F.substring(F.col("line"), F.lit(1), cut_at)), F.xxhash64(F.lit("tail"), base, F.expr("line").substr(n - (base - cut_at) + 1, base - cut_at))]
+    def keys(c: Column) -> list[Column]:
+        head = F.xxhash64(F.lit(0), c, F.substring(F.col("line"), F.lit(1), c))
+        tail = F.xxhash64(F.lit(1), c, F.col("line").substr(n - c + 1, c))
+        return [F.struct(F.lit(0).alias("side"), head.alias("key")), F.struct(F.lit(1).alias("side"), tail.alias("key"))]
 
-    return F.array(*keys(n), *keys(n - 1))
+    return F.when(n % 2 == 0, F.array(*keys(m), *keys(m - 1))).otherwise(F.array(*keys(m)))
 
 
 def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
@@ -59,24 +62,58 @@ def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _variants(near: DataFrame) -> DataFrame:
-    """``(key, role, h1, h2)``: role 0 the line itself, 1 the line without a character,
-    2 that variant and the place of the character together."""
-    out = pa.schema([("key", pa.int64()), ("role", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+    """``(key, role, nid)``: role 0 the line itself, 1 the line without a character, 2 that
+    variant and the place of the character together.
+
+    ``near`` holds ``nid, line, sides``: bit 1 of sides says that the line's start stands
+    in another line, bit 2 that its end does; the edit is then in the other part, and only
+    that part's deletions are emitted.
+    """
+    out = pa.schema([("key", pa.int64()), ("role", pa.int32()), ("nid", pa.int64())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for h1, h2, line in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for nid, line, sides in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 own, less = deletion_keys(line)
+                n = len(less)
+                # a part that stands in another line has n // 2 - 1 code points or more
+                some = np.zeros(n, bool)
+                if sides & 1:
+                    some[max(0, n // 2 - 1) :] = True
+                if sides & 2:
+                    some[: n - max(0, n // 2 - 1)] = True
+                places = np.flatnonzero(some)
                 with np.errstate(over="ignore"):
-                    placed = mix64(less + _BASE * np.arange(1, len(less) + 1, dtype=np.uint64))
-                less = np.unique(less)
+                    placed = mix64(less[places] + _BASE * (places + 1).astype(np.uint64))
+                less = np.unique(less[places])
                 key = np.concatenate([own, less, placed]).view(np.int64)
                 role = np.repeat(np.array([0, 1, 2], np.int32), [1, len(less), len(placed)])
                 for a in range(0, len(key), 100_000):
                     k = key[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(role[a : a + 100_000]), pa.array(np.full(len(k), h1)), pa.array(np.full(len(k), h2))], schema=out)
-
-    return near.select("h1", "h2", "line").mapInArrow(go, "key long, role int, h1 long, h2 long")
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(role[a : a + 100_000]), pa.array(np.full(len(k), nid))], schema=out)
+
+    return near.select("nid", "line", "sides").mapInArrow(go, "key long, role int, nid long")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those whose key stands in more than one."""
+    last = None  # the last row, and whether it is out
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        same = np.zeros(len(key), bool)
+        same[1:] = key[1:] == key[:-1]
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        if last is not None and last[0].column(0)[0].as_py() == key[0]:
+            keep[0] = True
+            if not last[1]:
+                yield last[0]
+        got = np.flatnonzero(keep)
+        if len(got):
+            yield b.take(pa.array(got))
+        last = (b.slice(len(key) - 1, 1), bool(keep[-1]))
 
 
 def earlier_neighbours(lines: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
@@ -88,16 +125,19 @@ def earlier_neighbours(lines: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> Data
     one is the other without a character (roles 0 and 1 meet in a key) or both are
     equal but for the character at one place (role 2 meets). In a key the earliest line
     answers for all its members, so no pairs are listed; the edit distance to it is then
-    verified on the texts.
+    verified on the texts. Variants are dealt once and sorted by key, so a key's members
+    stand together and those that meet none are dropped as they stream by.
     """
     long = lines.where(F.length("line") >= fuzzy_chars - 1)
-    halves = long.select("h1", "h2", F.explode(_halves()).alias("half"))
+    halves = long.select("h1", "h2", F.explode(_halves()).alias("x")).select("h1", "h2", "x.side", F.col("x.key").alias("half"))
     live = halves.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x != y").select("half")
-    near = halves.join(live, "half", "left_semi").select("h1", "h2").distinct()
-    near = cut(long.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("occ").alias("occ"), F.min("line").alias("line")))
-    keys = _variants(near).join(near.select("h1", "h2", "occ"), ["h1", "h2"])
+    sides = halves.join(cut(live), "half", "left_semi").groupBy("h1", "h2").agg(F.expr("bit_or(shiftleft(1, side))").alias("sides"))
+    near = long.join(cut(sides), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("occ").alias("occ"), F.first("line").alias("line"), F.first("sides").alias("sides"))
+    near = cut(near.withColumn("nid", F.monotonically_increasing_id()))
+    sorted_ = _variants(near).repartition("key").sortWithinPartitions("key")
+    keys = cut(sorted_.mapInArrow(_met, sorted_.schema)).join(near.select("nid", "h1", "h2", "occ"), "nid")
     best = lambda role: F.min(F.when(F.col("role") == role, F.struct("occ", "h1", "h2")))
-    groups = keys.groupBy("key").agg(F.min("role").alias("lowest"), F.max("role").alias("highest"), F.count("*").alias("n"), best(0).alias("own"), best(1).alias("less"), best(2).alias("placed")).where("n > 1")
+    groups = keys.groupBy("key").agg(best(0).alias("own"), best(1).alias("less"), best(2).alias("placed"))
     met = keys.join(groups, "key")
     other = F.when(F.col("role") == 0, F.col("less")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("placed"))
     found = met.select("h1", "h2", "occ", other.alias("o")).where("o is not null and o.occ < occ").select("h1", "h2", "o").distinct()
