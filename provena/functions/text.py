@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +21,12 @@ def strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. A column that a lambda refers to may be
+    put in its place by the optimizer and then be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -154,9 +161,8 @@ def hidden_characters(c: Column) -> Column:
     alpha = F.greatest(_count(c, r"\p{L}"), F.lit(1))
     cyr, lat = _count(c, r"[\x{400}-\x{4FF}]") / alpha, _count(c, "[a-zA-Z]") / alpha
     look = f"[{lex.HOMOGLYPHS[0]}]"
-    chars = F.split(c, "")
-    near = lambda i: F.array_join(F.slice(chars, F.greatest(i - 4, F.lit(1)), F.least(i + 6, F.lit(11))), "")
-    voted = F.size(F.filter(F.transform(chars, lambda x, i: x.rlike(look) & (_count(near(i), "[a-zA-Z]") > _count(near(i), r"[\x{400}-\x{4FF}]"))), lambda b: b))
+    near = lambda t, i: F.array_join(F.slice(t, F.greatest(i - 4, F.lit(1)), F.least(i + 6, F.lit(11))), "")
+    voted = let(F.split(c, ""), lambda t: F.size(F.filter(F.transform(t, lambda x, i: x.rlike(look) & (_count(near(t, i), "[a-zA-Z]") > _count(near(t, i), r"[\x{400}-\x{4FF}]"))), lambda b: b)))
     seen = _count(c, look)
     sus = F.when(seen == 0, 0).when(lat > 0.60, seen).when(cyr > 0.60, 0).otherwise(voted)
     inv = _count(c, r"[\p{Cf}\p{Cc}&&[^ \n\t\r]]")
@@ -189,14 +195,22 @@ def gram_hash(c: Column) -> Column:
 def ngrams(tokens: Column, n: int | Column) -> Column:
     """Runs of n tokens joined by spaces; none if there are fewer."""
     n = F.lit(n) if isinstance(n, int) else n
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
 
 
 def winnow(hashes: Column, window: int) -> Column:
     """The distinct least hashes of all windows; of fewer hashes all of them."""
-    mins = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes) - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(hashes, i, window)))
-    return F.array_distinct(F.when(F.size(hashes) < window, hashes).otherwise(mins))
+
+    def mins(h: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(h, i, window)))
+        return F.array_distinct(F.when(F.size(h) < window, h).otherwise(each))
+
+    return let(hashes, mins)
 
 
 def jaccard(a: Column, b: Column) -> Column:

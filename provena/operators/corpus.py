@@ -15,9 +15,10 @@ def quality(c: Column) -> Column:
     else half for length and half for the variety of words, to three digits."""
     w = tx.words(F.lower(c))
     n = F.size(w)
-    ttr = F.size(F.array_distinct(w)) / n
-    letters = F.regexp_count(c, F.lit(r"\p{L}")) / F.length(c)
-    long = F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)) / n
+    some = F.greatest(n, F.lit(1))
+    ttr = F.size(F.array_distinct(w)) / some
+    letters = F.regexp_count(c, F.lit(r"\p{L}")) / F.greatest(F.length(c), F.lit(1))
+    long = F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)) / some
     score = 0.5 * F.least(n / 300, F.lit(1.0)) + 0.5 * F.least((ttr - 0.2) / 0.6, F.lit(1.0))
     bad = (n < LEAST_WORDS) | (letters < 0.40) | (ttr < 0.20) | (long < 2.5) | (long > 18)
     return F.when(c.isNull() | bad, 0.0).otherwise(tx.rounded(score, 3))

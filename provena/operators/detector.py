@@ -88,7 +88,7 @@ def detect(docs: DataFrame, models: str = "none", model_score: Column | None = N
     w = WEIGHTS[models]
     blend = sum((_c(a) * b for a, b in zip(names, w, strict=True)), F.lit(0.0)) / sum(w)
     active = F.array(*[_c(a) for a, b in zip(names, w, strict=True) if b > 0])
-    rows = rows.withColumn("am", ft.mean(active)).withColumn("confidence", tx.rounded(_least(_zero(1.0 - ft.deviation(active, F.col("am")))), 3))
+    rows = rows.withColumn("confidence", tx.rounded(_least(_zero(1.0 - ft.deviation(active))), 3))
     p, n = F.col("p"), F.col("n")
     rows = rows.withColumn("p", tx.rounded(_least(_zero(blend * 100), 100.0), 1))
     academic = (_c("passive_ratio") > 0.25) & (_c("connector_density") < 0.15) & (_c("formulaic_density") < 0.1) & (p > 35)
@@ -129,7 +129,7 @@ def simple(docs: DataFrame) -> DataFrame:
     parts = F.filter(F.split("text", "[.!?]"), lambda s: tx.n_words(s) > 2)
     rows = docs.select("doc_id", "text", "lang", F.transform(parts, lambda s: tx.n_words(s).cast("double")).alias("lens"), tx.words(F.lower("text")).alias("w"))
     rows = rows.withColumn("m", ft.mean(F.col("lens")))
-    burst = F.when((F.size("lens") >= 3) & (F.col("m") > 0), ft.deviation(F.col("lens"), F.col("m")) / F.col("m")).otherwise(0.5)
+    burst = F.when((F.size("lens") >= 3) & (F.col("m") > 0), ft.deviation(F.col("lens")) / F.col("m")).otherwise(0.5)
     some = F.greatest(F.size("lens"), F.lit(1))
     density = F.size(F.filter("w", lambda x: F.array_contains(tx.strings(lex.SIMPLE_CONNECTORS), x))) / some
     variety = F.size(F.array_distinct("w")) / F.greatest(F.size("w"), F.lit(1))

@@ -12,24 +12,31 @@ WINDOW = 50
 
 
 def mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    """Null if there is nothing."""
+    return tx.let(a, lambda t: F.when(F.size(t) > 0, F.aggregate(t, F.lit(0.0), lambda s, x: s + x) / F.size(t)))
 
 
-def deviation(a: Column, m: Column) -> Column:
+def deviation(a: Column) -> Column:
     """Of the whole population."""
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a))
+    spread = lambda t, m: F.sqrt(F.aggregate(t, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.greatest(F.size(t), F.lit(1)))
+    return tx.let(a, lambda t: tx.let(mean(t), lambda m: spread(t, m)))
 
 
-def echo(a: Column, m: Column) -> Column:
-    """The largest autocorrelation of lags 2 to 4, sign dropped; 0 if nothing varies.
-    ``m`` is the mean of ``a``."""
-    norm = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
+def echo(a: Column) -> Column:
+    """The largest autocorrelation of lags 2 to 4, sign dropped; 0 if nothing varies."""
 
-    def lag(k: int) -> Column:
-        both = F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - k, F.lit(0))), F.slice(a, F.lit(k + 1), F.greatest(F.size(a) - k, F.lit(0))), lambda x, y: (x - m) * (y - m))
-        return F.abs(F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / norm)
+    def of(t: Column) -> Column:
+        norm = F.aggregate(t, F.lit(0.0), lambda s, x: s + x * x)
 
-    return F.when(norm > 0, F.greatest(lag(2), F.when(F.size(a) > 3, lag(3)).otherwise(0.0), F.when(F.size(a) > 4, lag(4)).otherwise(0.0))).otherwise(0.0)
+        def lag(k: int) -> Column:
+            n = F.greatest(F.size(t) - k, F.lit(0))
+            both = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(k + 1), n), lambda x, y: x * y)
+            return F.abs(F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / norm)
+
+        return F.when(norm > 0, F.greatest(lag(2), F.when(F.size(t) > 3, lag(3)).otherwise(0.0), F.when(F.size(t) > 4, lag(4)).otherwise(0.0))).otherwise(0.0)
+
+    centred = tx.let(a, lambda t: tx.let(mean(t), lambda m: F.transform(t, lambda x: x - m)))
+    return tx.let(centred, of)
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -73,16 +80,16 @@ def features(docs: DataFrame) -> DataFrame:
     """``(doc_id, lang, text, <27 features>)`` of documents with ``doc_id, lang, text``."""
     b = _base(docs)
     m = mean(F.col("lens"))
-    b = b.withColumn("sent_len_mean", m).withColumn("sent_len_std", deviation(F.col("lens"), F.col("sent_len_mean")))
+    b = b.withColumn("sent_len_mean", m).withColumn("sent_len_std", deviation(F.col("lens")))
     b = b.withColumn("sent_len_min", F.array_min("lens")).withColumn("sent_len_max", F.array_max("lens")).withColumn("sent_len_range", F.col("sent_len_max") - F.col("sent_len_min"))
     b = b.withColumn("burstiness", F.when(F.col("sent_len_mean") > 0, F.col("sent_len_std") / F.col("sent_len_mean")).otherwise(0.0))
     n = F.size("lens")
     diffs = F.zip_with(F.slice("lens", F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice("lens", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x, y: F.abs(x - y))
-    b = b.withColumn("diffs", diffs).withColumn("dm", mean(F.col("diffs"))).withColumn("artificial_burst", F.when(n >= 6, echo(F.col("diffs"), F.col("dm"))).otherwise(0.0))
+    b = b.withColumn("diffs", diffs).withColumn("artificial_burst", F.when(n >= 6, echo(F.col("diffs"))).otherwise(0.0))
     b = b.withColumn("ttr", F.size(F.array_distinct("w")) / F.col("n_words"))
     wl = F.transform("w", lambda x: F.length(x).cast("double"))
     b = b.withColumn("wl", wl).withColumn("word_len_mean", F.when(F.size("w") > 0, mean(F.col("wl"))).otherwise(F.lit(float("nan"))))
-    b = b.withColumn("word_len_std", F.when(F.size("w") > 0, deviation(F.col("wl"), F.col("word_len_mean"))).otherwise(F.lit(float("nan"))))
+    b = b.withColumn("word_len_std", F.when(F.size("w") > 0, deviation(F.col("wl"))).otherwise(F.lit(float("nan"))))
     low, lang, sents = F.lower("text"), F.col("lang"), F.col("n_sents")
     hits = lambda table: tx.by_lang(lang, {k: tx.contained(low, v) for k, v in table.items()})
     b = b.withColumns({"connector_density": hits(lex.CONNECTORS) / sents, "hedging_density": hits(lex.HEDGES) / sents, "certainty_density": hits(lex.CERTAINTIES) / sents, "formulaic_count": hits(lex.FORMULAS).cast("double")})
@@ -91,7 +98,7 @@ def features(docs: DataFrame) -> DataFrame:
     b = b.withColumns({"formulaic_density": F.col("formulaic_count") / sents, "passive_ratio": passive / sents, "question_ratio": count(r"\?") / sents, "exclamation_ratio": count("!") / sents})
     paras = F.filter(F.transform(F.split("text", "\n\n"), tx.strip), lambda p: F.length(p) > 20)
     b = b.withColumn("paras", paras).withColumn("pl", F.transform("paras", lambda p: tx.n_words(p).cast("double"))).withColumn("pm", mean(F.col("pl")))
-    b = b.withColumn("para_uniformity", F.when(F.size("paras") < 2, 0.5).otherwise(F.when(F.col("pm") > 0, 1.0 - deviation(F.col("pl"), F.col("pm")) / F.col("pm")).otherwise(1.0)))
+    b = b.withColumn("para_uniformity", F.when(F.size("paras") < 2, 0.5).otherwise(F.when(F.col("pm") > 0, 1.0 - deviation(F.col("pl")) / F.col("pm")).otherwise(1.0)))
     ends = tx.jaccard(F.array_distinct(tx.feature_words(F.element_at("paras", 1))), F.array_distinct(tx.feature_words(F.element_at("paras", -1))))
     b = b.withColumn("intro_concl_sim", F.when(F.size("paras") >= 3, ends).otherwise(0.0))
     b = b.withColumn("contraction_ratio", F.when(lang == "en", count(lex.CONTRACTIONS) / F.col("n_words")).otherwise(0.0))
@@ -133,17 +140,17 @@ def profile(docs: DataFrame, window: int = 3) -> DataFrame:
     three sentences; of fewer than five sentences the whole text's."""
     s = docs.select("doc_id", "text", tx.feature_sentences(F.col("text")).alias("s"))
     n = F.size("s")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.array_join(F.slice("s", i, window), " "))
+    runs = tx.ngrams(F.col("s"), window)
     parts = s.select("doc_id", F.posexplode(F.when(n >= window + 2, runs).otherwise(F.array("text"))).alias("i", "text"), (n >= window + 2).alias("long"))
     key = F.struct("doc_id", "i")
     ppl = perplexity(parts.select(key.alias("doc_id"), "text"))
     rows = parts.select(key.alias("doc_id"), "long").join(ppl, "doc_id").groupBy("doc_id.doc_id", "long").agg(F.array_sort(F.collect_list(F.struct("doc_id.i", "perplexity"))).alias("x"))
     rows = rows.withColumn("p", F.col("x.perplexity")).withColumn("m", mean(F.col("p")))
-    flat = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - deviation(F.col("p"), F.col("m")) / F.col("m")))
+    flat = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - deviation(F.col("p")) / F.col("m")))
     return rows.select(
         "doc_id",
         F.when(F.col("long"), tx.rounded(flat)).otherwise(0.5).alias("flatness"),
-        F.when(F.col("long") & (F.size("p") >= 6), tx.rounded(echo(F.col("p"), F.col("m")))).otherwise(0.0).alias("periodicity"),
+        F.when(F.col("long") & (F.size("p") >= 6), tx.rounded(echo(F.col("p")))).otherwise(0.0).alias("periodicity"),
         tx.rounded(F.col("m"), 2).alias("mean_ppl"),
         F.size("p").cast("long").alias("n_windows"),
     )

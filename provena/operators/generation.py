@@ -59,7 +59,7 @@ def train(rows: DataFrame, seed: int = 7, trees: int = 200, rounds: int = 60):
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
         RandomForestClassifier(numTrees=trees, maxDepth=12, minInstancesPerNode=5, seed=seed, **out("rf")),
         LogisticRegression(regParam=1.0 / n, standardization=False, maxIter=100, **out("lr")),
-        GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.1, seed=seed, **out("gb")),
+        GBTClassifier(featuresCol="scaled", labelCol="label", predictionCol="gb_p", maxIter=rounds, maxDepth=6, stepSize=0.1, seed=seed).setRawPredictionCol("gb_r").setProbabilityCol("gb"),
     ]).fit(rows)
 
 
@@ -98,8 +98,8 @@ def paraphrase(text: Column, lang: Column, key: Column, p: float = 0.6, seed: in
     def fold(k: str) -> Column:
         out = text
         for i, (old, new) in enumerate(lex.SYNONYMS[k]):
-            once = F.regexp_replace(out, rf"(?isU)^(.*?)\b\Q{old}\E\b", f"$1{new}")
-            out = F.when(chance(key, F.lit(i), seed=seed) < p, once).otherwise(out)
+            pattern = F.when(chance(key, F.lit(i), seed=seed) < p, rf"(?isU)^(.*?)\b\Q{old}\E\b").otherwise("(?!)")
+            out = F.regexp_replace(out, pattern, F.lit(f"$1{new}"))
         return out
 
     return F.when(lang == "uz", fold("uz")).when(lang == "ru", fold("ru")).when(lang == "en", fold("en")).otherwise(text)

@@ -41,7 +41,7 @@ def cache_hits(requests: DataFrame, ttl: int = 3600) -> DataFrame:
     Sets are found by walking each key's requests in order, an array of times per key
     and day, as a set can't be told from the gap to the request before.
     """
-    g = requests.select("key", F.unix_micros("ts").alias("t")).groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    g = requests.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     start = F.struct(F.lit(None).cast("long").alias("set"), F.lit(0).cast("long").alias("hits"))
     fresh = lambda s, t: s["set"].isNotNull() & (t - s["set"] <= ttl * 1_000_000)
     walked = F.aggregate("ts", start, lambda s, t: F.when(fresh(s, t), F.struct(s["set"].alias("set"), (s["hits"] + 1).alias("hits"))).otherwise(F.struct(t.alias("set"), s["hits"].alias("hits"))))
@@ -54,7 +54,7 @@ def lockouts(attempts: DataFrame, most: int = 5, lock_s: int = 900) -> DataFrame
 
     ``attempts`` holds ``key, ts, ok``.
     """
-    g = attempts.select("key", F.struct(F.unix_micros("ts").alias("t"), "ok").alias("x")).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    g = attempts.select("key", F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "ok").alias("x")).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     start = F.struct(F.lit(0).cast("long").alias("fails"), F.lit(0).cast("long").alias("since"), F.lit(0).cast("long").alias("refused"))
 
     def step(s, x):

@@ -54,7 +54,7 @@ def dot(a: str, b: str) -> F.Column:
 
 def unit(c: str) -> F.Column:
     norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(c, lambda x: x.cast("double") / norm))
+    return tx.let(norm, lambda n: F.when(n > 0, F.transform(c, lambda x: x.cast("double") / n)))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, above: float = 0.45, blocks: int = 16) -> DataFrame:
