@@ -125,9 +125,9 @@ class Lattices:
     def _forget(self) -> None:
         self.start: dict[str | None, int] = {}
         self.n_nodes = self.n_edges = 0
-        self.first = np.zeros(1 << 14, np.int32)
+        self.first, self.last = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.cum = np.zeros(1 << 15)
-        self.to, self.piece = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
+        self.to, self.piece, self.node = (np.zeros(1 << 15, np.int32) for _ in range(3))
         self.logp, self.others = np.zeros(1 << 15, np.float32), np.zeros(1 << 15, np.float32)
         self.spelled: list[list[int]] = []
 
@@ -180,38 +180,49 @@ class Lattices:
                 weight.append(np.array([sum(self.v.weight[x] for x in s) for s in spelled])[back] if len(place) else np.zeros(0))
         src, size, piece, weight = (np.concatenate(x) for x in (src, size, piece, weight))
         # backward sums, for all nodes as far from their unit's end at a time
-        order = np.lexsort((size, src, left[src]))
+        order = np.argsort((left[src] * (n + 1) + src) * (self.v.longest + 1) + size)
         src, size, piece, weight = src[order], size[order], piece[order], weight[order]
-        beta, value, inside = np.zeros(n + 1), weight.copy(), size < left[src]
-        steps = np.searchsorted(left[src], np.arange(1, int(left.max()) + 2))
-        for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+        far = left[src]
+        inside = size < far
+        heads = np.concatenate([[0], np.flatnonzero(src[1:] != src[:-1]) + 1])
+        beta, value = np.zeros(n + 1), weight
+        target = np.minimum(src + size, n)
+        steps = np.searchsorted(far, np.arange(1, int(far[-1]) + 2))
+        starts_of = np.searchsorted(heads, steps)
+        for k, (a, b) in enumerate(zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True)):
             if a == b:
                 continue
-            s = src[a:b]
-            value[a:b] += np.where(inside[a:b], beta[np.minimum(s + size[a:b], n)], 0.0)
-            heads = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
-            beta[s[heads]] = np.logaddexp.reduceat(value[a:b], heads)
+            if k:
+                value[a:b] += np.where(inside[a:b], beta[target[a:b]], 0.0)
+            at = heads[starts_of[k] : starts_of[k + 1]]
+            beta[src[at]] = np.logaddexp.reduceat(value[a:b], at - a)
         logp = np.minimum(value - beta[src], 0.0)
-        # the likely edges of a node first
-        order = np.lexsort((size, -logp, src))
-        src, size, piece, logp, inside = src[order], size[order], piece[order], logp[order], inside[order]
-        share = np.exp(logp)
-        heads = np.concatenate([[0], np.flatnonzero(src[1:] != src[:-1]) + 1])
         many = np.diff(np.append(heads, len(src)))
+        # a node's likeliest edge goes first
+        top = np.flatnonzero(logp == np.repeat(np.maximum.reduceat(logp, heads), many))
+        node_of = np.repeat(np.arange(len(heads)), many)
+        top = top[np.concatenate([[True], node_of[top][1:] != node_of[top][:-1]])]
+        swap = np.arange(len(src))
+        swap[heads], swap[top] = top, heads
+        size, piece, logp, inside = size[swap], piece[swap], logp[swap], inside[swap]
+        share = np.exp(logp)
         small = np.where(share > 0.5, 0.0, share)
         others = np.where(share > 0.5, np.repeat(np.add.reduceat(small, heads), many), 1.0 - share)
         run = np.cumsum(share)
         run -= np.repeat(run[heads] - share[heads], many)
         run[np.append(heads[1:], len(src)) - 1] = 2.0
         e = self.n_edges
-        self._put("first", base, (e + heads).astype(np.int32))
+        first, last = np.empty(n, np.int32), np.empty(n, np.int32)
+        first[src[heads]], last[src[heads]] = e + heads, e + heads + many
+        self._put("first", base, first)
+        self._put("last", base, last)
         self._put("cum", e, run)
+        self._put("node", e, (base + src).astype(np.int32))
         self._put("to", e, np.where(inside, base + src + size, -1).astype(np.int32))
         self._put("piece", e, piece.astype(np.int32))
         self._put("logp", e, logp.astype(np.float32))
         self._put("others", e, others.astype(np.float32))
         self.n_nodes, self.n_edges = base + n, e + len(src)
-        self._put("first", self.n_nodes, np.array([self.n_edges], np.int32))
 
     def draw(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one segmentation of the rest of each unit from ``nodes`` (-1: none
@@ -339,7 +350,7 @@ class Sampler:
         b = _Branch()
         b.edges, b.start, b.seed, b.taken = edges, start, seed, {}
         # shares fall with each place and are nothing from 1e-308 on
-        some = max(64, start + 64)
+        some = start + 2048
         while True:
             part = edges[:some]
             upto = np.cumsum(self.lat.logp[part], dtype=np.float64)
@@ -365,9 +376,9 @@ class Sampler:
             at -= 1
         t = b.start + at
         e = int(b.edges[t])
-        node = int(np.searchsorted(lat.first[: lat.n_nodes + 1], np.int32(e), side="right")) - 1
+        node = int(lat.node[e])
         gone = b.taken.setdefault(t, {e})
-        left = [x for x in range(int(lat.first[node]), int(lat.first[node + 1])) if x not in gone]
+        left = [x for x in range(int(lat.first[node]), int(lat.last[node])) if x not in gone]
         share = np.exp(lat.logp[left], dtype=np.float64)
         ran = np.cumsum(share)
         got = min(int(np.searchsorted(ran, _unit(b.seed, 3) * ran[-1], side="right")), len(left) - 1)
