@@ -149,6 +149,19 @@ def test_pivots_match_brute_force(spark):
     assert pivots.near_duplicates(df.where("vec_id = 3")).collect()[0].kept
 
 
+def test_pivots_recall_near_the_bound(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x[:300] + rng.normal(size=(300, 64)) * 0.045
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.concatenate([x, y]))]
+    u = np.concatenate([x, y])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum() - len(u)
+    got = sum(r.n_links for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert links > 300 and 0.9 * links <= got <= links
+
+
 # Lines
 
 
