@@ -41,9 +41,9 @@ def echo(a: Column) -> Column:
 
 def _base(docs: DataFrame) -> DataFrame:
     sents = tx.feature_sentences(F.col("text"))
-    rows = docs.select("doc_id", "lang", "text").withColumn("sents", sents).withColumn("w", tx.feature_words(F.col("text")))
+    rows = tx.pinned(docs.select("doc_id", "lang", "text"), sents=sents, w=tx.feature_words(F.col("text")))
     lens = F.transform("sents", lambda s: tx.n_words(s).cast("double"))
-    rows = rows.withColumn("lens", F.when(F.size("sents") > 0, lens).otherwise(F.array(F.lit(0.0))))
+    rows = tx.pinned(rows, lens=F.when(F.size("sents") > 0, lens).otherwise(F.array(F.lit(0.0))))
     return rows.withColumn("n_words", F.greatest(F.size("w"), F.lit(1))).withColumn("n_sents", F.greatest(F.size("sents"), F.lit(1)))
 
 

@@ -174,10 +174,11 @@ m as (select sub_id, pos, best, doc_id as md from (select *, row_number() over (
 e as (select hash, min(doc_id) as ed from sb group by hash),
 h as (select sa.sub_id, sa.pos, case when ed is not null then 100.0 else coalesce(best, 0) end as score, case when ed is not null then 'exact' when best >= 65 then 'similar' when best > 0 then 'low' end as match_type, coalesce(ed, md) as doc_id
   from sa left join e using (hash) left join m on m.sub_id = sa.sub_id and m.pos = sa.pos)
-select sub_id, pos::int as pos, {R('score', 1)} as match_score, score >= 65 as is_plagiarism, match_type, doc_id,
+select sub_id, pos::int as pos, {R('score', 1)} as match_score, score >= 65 as is_plagiarism, match_type, coalesce(doc_id, -1) as doc_id,
   case when score < 65 then null when match_type = 'exact' then 'exact' when score >= 75 then 'similar' else 'low' end as render_class from h""")
 def sentence_highlights(spark, d):
-    return sim.highlights(_subs(spark, d), _docs(spark, d)).drop("sentence")
+    rows = sim.highlights(_subs(spark, d), _docs(spark, d)).drop("sentence")
+    return rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
 
 
 AGG = f"""{MATCHES}, {SIMILAR},
