@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -29,16 +30,19 @@ LITERAL = 0x110000
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
-def substring_hashes(chars: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each run of ``length`` code points."""
+def prefix_hashes(chars: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By length from 1 on: the places with so many code points ``left``, and a hash of
+    the run of that length from each."""
     c = mix64(chars.astype(np.uint64) + np.uint64(1))
-    n = len(c) - length + 1
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for j in range(length):
-            h = (h ^ c[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+    place, h, length = np.arange(len(c)), np.zeros(len(c), np.uint64), 0
+    while len(place):
+        length += 1
+        keep = np.flatnonzero(left[place] >= length)
+        place, h = place[keep], h[keep]
+        with np.errstate(over="ignore"):
+            h = (h ^ c[place + (length - 1)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return h
+        yield place, h
 
 
 class Vocabulary:
@@ -65,6 +69,7 @@ class Vocabulary:
                 self.ids[p] = i
                 self.raw[i] = p.replace(SPACE, " ").encode()
         self.weights = np.array(self.weight)
+        self.bytes_of = np.array([*self.raw, None], object)[:-1]
         self.longest = max(map(len, self.ids))
         self.tables = {}
         by_length: dict[int, list[str]] = {}
@@ -72,7 +77,8 @@ class Vocabulary:
             by_length.setdefault(len(p), []).append(p)
         for length, same in by_length.items():
             chars = np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            h = substring_hashes(chars, length)[::length]
+            left = np.tile(np.arange(length, 0, -1), len(same))
+            *_, (_, h) = (x for x, _ in zip(prefix_hashes(chars, left), range(length), strict=False))
             order = np.argsort(h)
             seen = np.zeros(1 << 18, bool)
             seen[(h >> np.uint64(46)).astype(np.int64)] = True
@@ -80,22 +86,25 @@ class Vocabulary:
 
     def matches(self, chars: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By length: the places at which a piece of it stands, and the piece."""
-        for length in range(1, self.longest + 1):
-            none = np.empty(0, np.int64)
-            if length not in self.tables or length > len(chars):
+        for length, (place, h) in zip(range(1, self.longest + 1), prefix_hashes(chars, left), strict=False):
+            if length not in self.tables:
                 if length == 1:
-                    yield length, none, none
+                    yield length, np.empty(0, np.int64), np.empty(0, np.int64)
                 continue
             keys, ids, seen = self.tables[length]
-            h = substring_hashes(chars, length)
-            place = np.flatnonzero(seen[(h >> np.uint64(46)).astype(np.int64)] & (left[: len(h)] >= length))
-            at = np.searchsorted(keys, h[place])
-            hit = keys[np.minimum(at, len(keys) - 1)] == h[place]
+            likely = np.flatnonzero(seen[(h >> np.uint64(46)).astype(np.int64)])
+            place, h = place[likely], h[likely]
+            at = np.searchsorted(keys, h)
+            hit = keys[np.minimum(at, len(keys) - 1)] == h
             yield length, place[hit], ids[at[hit]]
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of a segmentation, with the first space that the encoder put there."""
+        return b"".join(self.bytes_of[ids].tolist())
+
     def decode(self, ids: list[int]) -> str:
-        """The text of a segmentation. The first space was put there by the encoder."""
-        return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+        """The text of a segmentation."""
+        return self.spell(np.asarray(ids, np.int64))[1:].decode("utf-8", "surrogatepass")
 
 
 def units(text: str) -> list[str | None]:
@@ -208,8 +217,12 @@ class Lattices:
         share = np.exp(logp)
         small = np.where(share > 0.5, 0.0, share)
         others = np.where(share > 0.5, np.repeat(np.add.reduceat(small, heads), many), 1.0 - share)
-        run = np.cumsum(share)
-        run -= np.repeat(run[heads] - share[heads], many)
+        # summed node by node, so that the sums don't depend on the units built together
+        run, at, left_of = share.copy(), heads, many
+        while len(at := at[left_of > 1]):
+            left_of = left_of[left_of > 1] - 1
+            run[at + 1] += run[at]
+            at = at + 1
         run[np.append(heads[1:], len(src)) - 1] = 2.0
         e = self.n_edges
         first, last = np.empty(n, np.int32), np.empty(n, np.int32)
@@ -409,6 +422,13 @@ def _log_inclusion(x: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(x))))
 
 
+@lru_cache(maxsize=1)
+def _sampler(path: str, alpha: float, k: int, seed: int) -> Sampler:
+    """One sampler for all tasks of a worker; its lattices don't depend on the texts
+    met before, only on the unit, so neither do the draws."""
+    return Sampler(Vocabulary(path, alpha), k, seed)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = TOP_K, seed: int = 23, path: str = MODEL, alpha: float = ALPHA) -> DataFrame:
     """``(doc_id, n_pieces, segmentations, decodes)`` of whole texts.
 
@@ -422,8 +442,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     out = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("segmentations", pa.list_(kind)), ("decodes", pa.bool_())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path, alpha)
-        sampler = Sampler(vocabulary, k, seed)
+        sampler = _sampler(path, alpha, k, seed)
+        spell = sampler.v.spell
 
         def done(ids: list, texts: list[str]) -> pa.RecordBatch:
             got = sampler(texts, [-1 if i is None else i for i in ids])
@@ -434,7 +454,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             incl = np.array([s[3] for s in flat])
             structs = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(lens, pa.int32()), values), *num, pa.array(np.exp(incl)), pa.array(incl)], fields=list(kind))
             segs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(g) for g in got])]), pa.int32()), structs)
-            same = [all(vocabulary.decode(s[0].tolist()) == t for s in g) for g, t in zip(got, texts, strict=True)]
+            want = ((" " + t if t else t).encode("utf-8", "surrogatepass") for t in texts)
+            same = [all(spell(s[0]) == w for s in g) for g, w in zip(got, want, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(g[0][0]) for g in got], pa.int64()), segs, pa.array(same)], schema=out)
 
         for b in batches:

@@ -313,6 +313,17 @@ def test_pieces_are_distinct_exhaustive_and_exact(vocabulary):
             assert [x[0].tolist() for x in a] == [x[0].tolist() for x in b]
 
 
+def test_pieces_do_not_depend_on_texts_met_before(vocabulary):
+    rng = random.Random(8)
+    texts = [text_of(rng, rng.randint(1, 400)) + " ünï \n\x00 " + str(i) for i in range(60)]
+    used = pieces.Sampler(vocabulary, 2)
+    used([text_of(rng, 5_000)], [99])
+    together = used(texts, list(range(60)))
+    for i in range(60):
+        alone = pieces.Sampler(vocabulary, 2)([texts[i]], [i])[0]
+        assert [(a.tolist(), *b) for a, *b in alone] == [(a.tolist(), *b) for a, *b in together[i]]
+
+
 def test_pieces_odd(spark):
     docs = odd_docs(spark)
     got = pieces.encode(docs)
