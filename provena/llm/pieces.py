@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -27,7 +27,6 @@ TOGETHER = 600_000
 SPACE = "▁"
 #: Stands for a literal U+2581 among code points.
 LITERAL = 0x110000
-_UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 def prefix_hashes(chars: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -71,6 +70,7 @@ class Vocabulary:
         self.weights = np.array(self.weight)
         self.bytes_of = np.array([*self.raw, None], object)[:-1]
         self.longest = max(map(len, self.ids))
+        self.parts = self._parts()
         self.tables = {}
         by_length: dict[int, list[str]] = {}
         for p in self.ids:
@@ -98,6 +98,33 @@ class Vocabulary:
             hit = keys[np.minimum(at, len(keys) - 1)] == h
             yield length, place[hit], ids[at[hit]]
 
+    def _parts(self) -> re.Pattern:
+        """Cuts texts where no piece of this vocabulary reaches across: before spaces, around
+        characters that only stand alone in pieces, and between letters and those marks that
+        no piece joins with a letter."""
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        joined = set("".join(pairs)) - {SPACE}
+        letters = {c for c in joined if c.isalpha()}
+        marks = joined - letters - {c for a, b in pairs for c, other in ((a, b), (b, a)) if other in letters}
+        one = re.escape("".join(c for c in map(chr, range(256)) if c not in joined))
+        runs = [f"[{x}]++(?![^{SPACE}{one}{y}])" for x, y in itertools.permutations(re.escape("".join(sorted(c))) for c in (letters, marks)) if x]
+        return re.compile(f"{SPACE}*+(?:{'|'.join([*runs, f'[^{SPACE}{one}]+'])})|{SPACE}+" + (f"|[{one}]" if one else ""))
+
+    def units(self, text: str) -> list[str | None]:
+        """Parts between which no piece reaches.
+
+        A literal U+2581 is None: it has to be spelled in bytes, as its piece means a space.
+        """
+        if not text:
+            return []
+        cut = self.parts.findall
+        if SPACE not in text:
+            return cut(SPACE + text.replace(" ", SPACE))
+        out: list[str | None] = []
+        for k, part in enumerate(text.split(SPACE)):
+            out += ([None] if k else []) + cut((SPACE if k == 0 else "") + part.replace(" ", SPACE))
+        return out
+
     def spell(self, ids: np.ndarray) -> bytes:
         """The bytes of a segmentation, with the first space that the encoder put there."""
         return b"".join(self.bytes_of[ids].tolist())
@@ -107,21 +134,6 @@ class Vocabulary:
         return self.spell(np.asarray(ids, np.int64))[1:].decode("utf-8", "surrogatepass")
 
 
-def units(text: str) -> list[str | None]:
-    """Parts between which no piece reaches: spaces and what follows up to the next.
-
-    A literal U+2581 is None: it has to be spelled in bytes, as its piece means a space.
-    """
-    if not text:
-        return []
-    if SPACE not in text:
-        return _UNITS.findall(SPACE + text.replace(" ", SPACE))
-    out: list[str | None] = []
-    for k, part in enumerate(text.split(SPACE)):
-        out += ([None] if k else []) + _UNITS.findall((SPACE if k == 0 else "") + part.replace(" ", SPACE))
-    return out
-
-
 class Lattices:
     """Lattices of the units met so far. An edge of a node is taken with the share of
     the segmentations' total weight that goes through it (backward sums), so that going
@@ -325,7 +337,7 @@ class Sampler:
         than k segmentations has all of them, with inclusion 1.
         """
         lat = self.lat
-        nodes = lat.nodes_of([units(t) for t in texts])
+        nodes = lat.nodes_of([self.v.units(t) for t in texts])
         roots = [_mixed(self.seed, key) for key in keys]
         found: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
         open_: list[list[_Branch]] = [[] for _ in texts]
@@ -422,13 +434,6 @@ def _log_inclusion(x: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(x))))
 
 
-@lru_cache(maxsize=1)
-def _sampler(path: str, alpha: float, k: int, seed: int) -> Sampler:
-    """One sampler for all tasks of a worker; its lattices don't depend on the texts
-    met before, only on the unit, so neither do the draws."""
-    return Sampler(Vocabulary(path, alpha), k, seed)
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = TOP_K, seed: int = 23, path: str = MODEL, alpha: float = ALPHA) -> DataFrame:
     """``(doc_id, n_pieces, segmentations, decodes)`` of whole texts.
 
@@ -442,7 +447,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     out = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("segmentations", pa.list_(kind)), ("decodes", pa.bool_())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _sampler(path, alpha, k, seed)
+        sampler = Sampler(Vocabulary(path, alpha), k, seed)
         spell = sampler.v.spell
 
         def done(ids: list, texts: list[str]) -> pa.RecordBatch:

@@ -313,6 +313,19 @@ def test_pieces_are_distinct_exhaustive_and_exact(vocabulary):
             assert [x[0].tolist() for x in a] == [x[0].tolist() for x in b]
 
 
+def test_no_piece_reaches_across_units(vocabulary):
+    v = vocabulary
+    pairs = {p[i : i + 2] for p in v.ids for i in range(len(p) - 1)}
+    rng = random.Random(9)
+    seen = sorted(set("".join(v.ids)) - {"▁"})
+    for _ in range(300):
+        text = "".join(rng.choices(seen + list("  \n\t.,;'\"()_-09é\U0001f600\u3042▁") * 20, k=120)) + " don't (stop)... a_b\r\n"
+        units = v.units(text)
+        assert "".join(u or "▁" for u in units) == "▁" + text.replace(" ", "▁")
+        for a, b in zip(units, units[1:], strict=False):
+            assert a is None or b is None or a[-1] + b[0] not in pairs
+
+
 def test_pieces_do_not_depend_on_texts_met_before(vocabulary):
     rng = random.Random(8)
     texts = [text_of(rng, rng.randint(1, 400)) + " ünï \n\x00 " + str(i) for i in range(60)]
