@@ -23,11 +23,15 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Mapping:
-    """How one layout becomes turns: SQL over its columns, and the layout's field paths."""
+    """How one layout becomes turns: SQL over its columns, and the layout's field paths.
+
+    If ``at`` is set, a record holds one turn, and those of an id are joined in its order.
+    """
 
     name: str
     paths: tuple[str, ...]
     turns: str
+    at: str = ""
 
     @property
     def fingerprint(self) -> str:
@@ -60,6 +64,7 @@ MAPPINGS = (
     Mapping("completion", ("completion", "prompt"), _pair("coalesce(prompt, '')", "completion")),
     Mapping("prompt and response", ("prompt", "response"), _pair("coalesce(prompt, '')", "response")),
     Mapping("question", ("answer", "question"), _pair("coalesce(question, '')", "answer")),
+    Mapping("rows by turn", ("role", "text", "turn"), "array(named_struct('role', coalesce(role, ''), 'text', coalesce(text, '')))", "turn"),
 )
 
 
@@ -76,14 +81,19 @@ def canonical(records: DataFrame, id_col: str = "id", mappings: tuple[Mapping, .
     """``(id, layout, turns)`` of records in one typed layout, which its schema's
     fingerprint (without the id column) selects.
 
-    An unknown layout raises ValueError; a null array gives null turns.
+    An unknown layout raises ValueError; a null array gives null turns. Records of a turn
+    each become one row for each id, as ``turns_of_rows`` has it.
     """
     paths = [p for f in records.schema.fields if f.name != id_col for p in field_paths(f.dataType, f.name)]
     known = {m.fingerprint: m for m in mappings}
     m = known.get(fingerprint_of(paths))
     if m is None:
         raise ValueError(f"no mapping for a layout with the fields {sorted(paths)}")
-    return records.select(F.col(id_col).alias("id"), F.lit(m.name).alias("layout"), F.expr(m.turns).cast(TURNS).alias("turns"))
+    turns = F.expr(m.turns).cast(TURNS)
+    if m.at:
+        rows = records.select(F.col(id_col).alias("id"), F.col(m.at).alias("at"), turns[0]["role"].alias("role"), turns[0]["text"].alias("text"))
+        return _gathered(rows, ["id"]).select("id", F.lit(m.name).alias("layout"), "turns")
+    return records.select(F.col(id_col).alias("id"), F.lit(m.name).alias("layout"), turns.alias("turns"))
 
 
 def json_fingerprint(raw: Column) -> Column:
@@ -114,7 +124,8 @@ def canonical_json(records: DataFrame, id_col: str = "id", json_col: str = "raw"
     """``(id, layout, fingerprint, turns)`` of JSON records whose layouts differ by row.
 
     Each row's own fingerprint selects its mapping; a row that no mapping knows, that is
-    null or isn't JSON has null layout and turns.
+    null or isn't JSON has null layout and turns. Rows of a turn each become one row for
+    each id; places that aren't numbers come first.
     """
     rows = records.select(F.col(id_col).alias("id"), F.col(json_col).alias("raw"), json_fingerprint(F.col(json_col)).alias("fingerprint"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
@@ -123,7 +134,15 @@ def canonical_json(records: DataFrame, id_col: str = "id", json_col: str = "raw"
         # the record's fields become columns of a one-row lambda, so that mappings stay the same SQL
         fields = F.transform(F.array(F.from_json("raw", _json_schema(m))), partial(_applied, m))
         layout, turns = F.when(mine, m.name).otherwise(layout), F.when(mine, fields[0].cast(TURNS)).otherwise(turns)
-    return rows.select("id", layout.alias("layout"), "fingerprint", turns.alias("turns"))
+    names = ["id", "layout", "fingerprint"]
+    whole = rows.select("id", layout.alias("layout"), "fingerprint", turns.alias("turns"), "raw")
+    apart = {m.name: m.at for m in mappings if m.at}
+    if not apart:
+        return whole.select(*names, "turns")
+    single = F.coalesce(F.col("layout").isin(list(apart)), F.lit(False))
+    at = F.coalesce(*[F.when(F.col("layout") == k, F.get_json_object("raw", f"$.{v}").try_cast("decimal(38,9)")) for k, v in apart.items()])
+    one = whole.where(single).select(*names, at.alias("at"), F.col("turns")[0]["role"].alias("role"), F.col("turns")[0]["text"].alias("text"))
+    return whole.where(~single).select(*names, "turns").unionByName(_gathered(one, names))
 
 
 def _applied(m: Mapping, r: Column) -> Column:
@@ -135,6 +154,8 @@ def _applied(m: Mapping, r: Column) -> Column:
         name = lists[0][0]
         who, what = ("from", "value") if any(x[2] == "from" for x in lists) else ("role", "content")
         return F.transform(r[name], lambda t: turn(role(t[who]), text(t[what])))
+    if m.at:
+        return F.array(turn(text(r["role"]), text(r["text"])))
     ask = next(p for p in ("instruction", "prompt", "question") if p in m.paths)
     say = next(p for p in m.paths if p not in (ask, "input"))
     asked = text(r[ask])
@@ -148,9 +169,14 @@ def turns_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     first), ties by role and text; null texts and roles are empty. Rows with a null id
     form a conversation. A conversation is one row of the result, so it must fit one.
     """
-    turn = F.struct(F.col(turn_col).alias("at"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    grouped = rows.select(F.col(id_col).alias("id"), turn.alias("t")).groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    return grouped.select("id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return _gathered(rows.select(F.col(id_col).alias("id"), F.col(turn_col).alias("at"), text(role_col).alias("role"), text(text_col).alias("text")), ["id"])
+
+
+def _gathered(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``(*names, turns)`` of rows with ``at, role, text``."""
+    grouped = rows.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("t"))
+    return grouped.select(*names, F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
 def _any(words: tuple[str, ...]) -> str:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from provena.llm import chat, langid, linededup, minhash, mixing, pieces, pivots, quality, simhash, tokencounts
+from provena.llm import chat, langid, linededup, minhash, mixing, pieces, pivots, quality, queries, simhash, tokencounts
 from provena.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -391,6 +391,23 @@ def test_chat_layouts(spark):
     assert all(got[i].layout is None and got[i].turns is None for i in (6, 7, 8))
 
 
+def test_chat_rows_by_turn(spark, tmp_path):
+    rows = [(1, 10, "assistant", "c"), (1, 2, "user", "b"), (1, None, None, "a"), (2, 0, "user", None), (None, 0, "human", "n")]
+    want = {1: [("", "a"), ("user", "b"), ("assistant", "c")], 2: [("user", "")], None: [("human", "n")]}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.canonical(df, "conv_id").collect()
+    assert {r.id: [(t.role, t.text) for t in r.turns] for r in got} == want and {r.layout for r in got} == {"rows by turn"}
+    raw = df.select(F.col("conv_id").alias("id"), F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("raw"))
+    other = spark.createDataFrame([(2, '{"question":"q","answer":"a"}'), (2, '{"question":"q","answer":"a"}'), (3, "{}")], "id long, raw string")
+    got = chat.canonical_json(raw.union(other)).collect()
+    assert len(got) == 6 and sum(r.layout == "question" for r in got) == 2
+    assert {r.id: [(t.role, t.text) for t in r.turns] for r in got if r.layout == "rows by turn"} == want
+    # the query asks the fingerprint: a table of a layout that no mapping has is refused
+    df.withColumn("more", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
+    with pytest.raises(ValueError, match="no mapping"):
+        queries.op6_chat_formatting(spark, str(tmp_path))
+
+
 # Quality
 
 
