@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import Union, by_group, cut
+from provena.llm.common import Union, by_group, cut, share
 from provena.llm.components import components
+from provena.llm.linededup import _met
 
 #: Distinct fingerprints that fit the shard tree, at most; it bounds the driver's part.
 SAMPLE = 16_384
@@ -23,6 +25,13 @@ SHARDS = 4_096
 LARGE = 24_576
 #: Differing bits at which fingerprints link.
 RADIUS = 2
+#: Near copies of the pipeline: words of a shingle, and the least Jaccard similarity of two sets of shingles.
+COPY_WORDS, COPY_LEAST = 5, 0.8
+#: Differing bits beyond which two sets aren't compared. At similarity 0.8 a bit differs with odds of at most 0.152,
+#: so 10 of 64 are expected and over 24 come up about once in a million pairs.
+COPY_RADIUS = 24
+#: Documents from which common shingles are learnt, and how many must hold one. They only order the shingles.
+COMMON_SAMPLE, COMMON = 4_000, 20
 
 
 def simhash(text: str | None, k: int = 3, seed: int = 42) -> int:
@@ -32,12 +41,16 @@ def simhash(text: str | None, k: int = 3, seed: int = 42) -> int:
     by a space, repeats included; fewer words make one shingle of all, none gives 0.
     A bit is set if more than half the shingles' XXH64 have it.
     """
+    h = _hashes(text, k, seed)
+    return _majority(h) if len(h) else 0
+
+
+def _hashes(text: str | None, k: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
-    if not n:
-        return 0
     if n <= k:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)] if n else [], np.uint64)
     buf = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = np.empty(n, np.int64)
@@ -45,8 +58,7 @@ def simhash(text: str | None, k: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     m = n - k + 1
     view = memoryview(buf)
-    h = np.fromiter((digest(view[a:b], seed) for a, b in zip(starts[:m].tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)), np.uint64, m)
-    return _majority(h)
+    return np.fromiter((digest(view[a:b], seed) for a, b in zip(starts[:m].tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)), np.uint64, m)
 
 
 def _majority(h: np.ndarray) -> int:
@@ -225,11 +237,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str | None, k: int = COPY_WORDS, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a text without words has the one hash 0."""
+    h = np.unique(_hashes(text, k, seed))
+    return h if len(h) else np.zeros(1, np.uint64)
+
+
+def _common(texts: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of shingles that many documents of a sample hold, 50,000 at most."""
+    n = texts.count()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), k).view(np.int64))], names=["h"])
+
+    some = texts.where(share(17, "text") < COMMON_SAMPLE / max(1, n)).select("text").mapInArrow(go, "h long")
+    got = some.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(50_000)
+    return np.sort(np.array([r[0] for r in got.collect()], np.int64).view(np.uint64))
+
+
+def _close(radius: int, least: float):
+    """Pairs of a group that may be similar and aren't yet in one component."""
+
+    def work(g: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+        comp, fp, n, sh = g["comp"], g["fp"].view(np.uint64), g["n"], g["sh"]
+        found = []
+        step = max(1, 4_000_000 // len(sh))
+        for i in range(0, len(sh), step):
+            j = slice(i, i + step)
+            may = (comp[j, None] < comp[None]) & (np.bitwise_count(fp[j, None] ^ fp[None]) <= radius)
+            may &= np.minimum(n[j, None], n[None]) >= least * np.maximum(n[j, None], n[None]) - 1e-9
+            x, y = np.nonzero(may)
+            found.append((sh[x + i], sh[y]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        return {"a": a, "b": b} if len(a) else None
+
+    return work
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COPY_WORDS, least: float = COPY_LEAST, radius: int = COPY_RADIUS) -> DataFrame:
+    """``(doc_id, first)`` of rows with an id: first is the smallest id that is reachable by
+    pairs whose sets of ``k``-word shingles have a Jaccard similarity of ``least`` or more.
+
+    At such a radius the triangle bound of the tree prunes nothing, so pairs come from
+    prefixes: under any order of all shingles, two sets that are similar share one of the
+    first n - ceil(least * n) + 1 of each. Those of similar size and with fingerprints
+    within ``radius`` are verified on the whole sets. First each set is paired with the
+    smallest of each key; what that joins needn't be compared again, so a dense group
+    costs no pairs. Then all pairs of a key in different components are listed.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    held = docs.sparkSession.sparkContext.broadcast(_common(texts, k))
+    out = pa.schema([("doc_id", pa.int64()), ("sh", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), k) for t in b.column(1)]
+            first = []
+            for h in sets:
+                late = np.isin(h, held.value, assume_unique=True)
+                first.append(np.concatenate([h[~late], h[late]])[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].view(np.int64))
+            sh = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            fp = np.array([_majority(h) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sh), pa.array(fp), pa.array([len(h) for h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], schema=out)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("sh", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        for b in batches:
+            sets = [shingle_set(t.as_py(), k) for t in b.column(0)]
+            sh = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sh), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], schema=kind)
+
+    rows = cut(texts.mapInArrow(go, "doc_id long, sh long, fp long, n long, prefix array<long>"))
+    sets = cut(rows.groupBy("sh").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    one = rows.join(sets.select("sh", "rep"), "sh").where("doc_id = rep").select("sh", "prefix").dropDuplicates(["sh"])
+    keys = one.select(F.explode("prefix").alias("key"), "sh").repartition("key").sortWithinPartitions("key")
+    met = cut(keys.mapInArrow(_met, keys.schema))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        need = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sh")).distinct(), "sh").select(F.col("rep").alias("doc_id"))
+        full = texts.join(need, "doc_id", "left_semi").select("text").mapInArrow(whole, "sh long, shingles array<long>")
+        full = cut(full.groupBy("sh").agg(F.first("shingles").alias("shingles")))
+        both = pairs.join(full.select(F.col("sh").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("sh").alias("b"), F.col("shingles").alias("y")), "b")
+        same = F.size(F.array_intersect("x", "y"))
+        return cut(both.where(same >= least * (F.size("x") + F.size("y") - same) - 1e-9).select("a", "b"))
+
+    side = lambda x: sets.select(F.col("sh").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"))
+    stars = met.join(met.groupBy("key").agg(F.min("sh").alias("a")), "key").where("a != sh").select("a", F.col("sh").alias("b")).distinct()
+    stars = stars.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius)
+    links = verified(stars.where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9).select("a", "b"))
+    of = components(links)
+    left = met.join(of, F.col("sh") == F.col("node"), "left").select("key", "sh", F.coalesce("component", "sh").alias("comp"))
+    some = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+    left = left.join(some, "key", "left_semi").join(sets.select("sh", "fp", "n"), "sh")
+    more = by_group(left.select("key", "sh", "comp", "fp", "n"), ["key"], _close(radius, least), "a long, b long").distinct()
+    of = components(links.unionByName(verified(more)))
+    at = sets.join(of, F.col("sh") == F.col("node"), "left").select("sh", "rep", F.coalesce("component", "sh").alias("comp"))
+    first = at.join(at.groupBy("comp").agg(F.min("rep").alias("first")), "comp").select("sh", "first")
+    return rows.select("doc_id", "sh").join(first, "sh").select("doc_id", "first")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near copies: of each component the smallest id stays.
+    """``docs`` without ``near_copies``: of each component the smallest id stays.
 
     Columns are those of ``docs``. Rows that repeat the kept id are that document and
     stay. Rows with a null id are kept, as nothing tells them apart.
     """
-    drop = near_duplicates(docs, id_col, text_col).where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    drop = near_copies(docs, id_col, text_col).where("doc_id != first").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(drop, id_col, "left_anti").select(*docs.columns)

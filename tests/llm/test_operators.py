@@ -122,6 +122,26 @@ def test_simhash_odd(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
 
 
+def test_near_copies_match_brute_force(spark):
+    rng = random.Random(8)
+    texts = [text_of(rng, n).split() for n in [3, 5, 8] * 4 + [40, 90, 200] * 10]
+    for base in texts[12:30]:
+        for edits in (1, 1, 2, 4, 9):
+            t = list(base)
+            for _ in range(edits):
+                t[rng.randrange(len(t))] = text_of(rng, 1)
+            texts.append(t)
+    texts += [["same"] * 6 + t for t in texts[:40]] + [texts[20], [], []]
+    grams = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])]
+    want = brute_components(range(len(texts)), pairs)
+    wide = [(i, j) for i, j in pairs if (brute_simhash(" ".join(texts[i])) ^ brute_simhash(" ".join(texts[j]))).bit_count() > 2]
+    assert len(wide) > 40
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id: r.first for r in simhash.near_copies(docs).collect()} == want
+    assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == sorted(set(want.values()))
+
+
 # Embeddings
 
 
