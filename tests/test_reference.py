@@ -120,6 +120,15 @@ def test_bm25_floor(spark):
     assert terms["bbb"] == pytest.approx(raw["bbb"]) and terms["aaa"] == pytest.approx(0.25 * sum(raw.values()) / 3)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_cells_recall(spark, sf):
+    d = f"/root/testdata/{sf}"
+    pair = lambda name: {(r.query_id, r.vec_id) for r in catalog.QUERIES[name](spark, d).collect()}
+    exact, got = pair("vector_topk_cosine"), pair("vector_cells_topk")
+    print(f"recall of {len(exact)} neighbours on {sf}: {len(exact & got) / len(exact):.3f}")
+    assert len(exact & got) >= 0.9 * len(exact)
+
+
 def test_features(spark):
     text = "Furthermore, the test was created by us. It isn't hard! Is it? Moreover the test was made again, perhaps."
     docs = spark.createDataFrame([(1, text, "en"), (2, "", "en"), (3, "Bugungi kunda o`zbek muhim hisoblanadi. Katta kitob yozildi bugun.", "uz")], "doc_id long, text string, lang string")
