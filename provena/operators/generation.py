@@ -46,7 +46,7 @@ def training_set(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     return out
 
 
-def train(rows: DataFrame, seed: int = 7, trees: int = 200, rounds: int = 60):
+def train(rows: DataFrame, seed: int = 7, trees: int = 200, rounds: int = 150):
     """A pipeline of scaled features and three classifiers; their mean probability votes."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier

@@ -124,7 +124,7 @@ def mixed_text(spark, d):
 
 @r.query()
 def ensemble_train(spark, d):
-    rows = generation.training_set(spark, 300).coalesce(2)
-    model = generation.train(rows, trees=10, rounds=2)
+    rows = generation.training_set(spark, 5000).coalesce(6)
+    model = generation.train(rows)
     voted = generation.vote(model, rows)
     return voted.groupBy("profile").agg(F.count("*").alias("n"), F.count_if((F.col("ai_probability") >= 0.5) == (F.col("label") == 1)).alias("right"))

@@ -1,5 +1,6 @@
 """Rules of the text functions and operators on hand-made fixtures."""
 
+import inspect
 import math
 
 import pytest
@@ -191,6 +192,20 @@ def test_generation(spark):
     assert generation.profiles(spark).count() == 81
 
 
+def test_ensemble_is_trained_whole(spark, monkeypatch):
+    small, seen = generation.train, {}
+    usual = {k: v.default for k, v in inspect.signature(small).parameters.items() if k in ("trees", "rounds")}
+
+    def train(rows, seed=7, **given):
+        seen.update(usual | given, rows=rows.count())
+        return small(rows.sample(0.02, seed), seed, trees=2, rounds=1)
+
+    monkeypatch.setattr(generation, "train", train)
+    got = catalog.QUERIES["ensemble_train"](spark, SF).collect()
+    # a class has 5,000 rows; half as many are humanized, a third of two classes noisy
+    assert seen == {"trees": 200, "rounds": 150, "rows": 5000 * 2 + 2500 + 1666 * 2} and sum(r.n for r in got) == seen["rows"]
+
+
 def test_files(spark, tmp_path):
     import json
 
