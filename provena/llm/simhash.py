@@ -28,7 +28,7 @@ RADIUS = 2
 #: Near copies of the pipeline: words of a shingle, and the least Jaccard similarity of two sets of shingles.
 COPY_WORDS, COPY_LEAST = 5, 0.8
 #: Differing bits beyond which two sets aren't compared. At similarity 0.8 a bit differs with odds of at most 0.152,
-#: so 10 of 64 are expected and over 24 come up about once in a million pairs.
+#: so 10 of 64 are expected and, were bits independent, over 24 in three of a million pairs (not measured).
 COPY_RADIUS = 24
 #: Documents from which common shingles are learnt, and how many must hold one. They only order the shingles.
 COMMON_SAMPLE, COMMON = 4_000, 20
