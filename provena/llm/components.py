@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import cut
+from provena.llm.common import cut, spent
+
+
+#: A component with more than this share of all nodes is joined by broadcast.
+HOT = 1 / 10_000
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -16,9 +20,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     links mostly come as stars around the smallest id, and by a hash that changes each
     round afterwards: a path then loses a constant share of its nodes in each round,
     so the rounds grow with the logarithm of the longest path. What a round makes is
-    written to the shared checkpoint folder. Hub nodes are skewed keys of plain joins,
-    which adaptive execution splits; the minimum is pre-aggregated before its shuffle.
-    Null ends and self links are ignored; an empty table gives an empty result.
+    written to the shared folder and deleted when it is spent. Hub nodes are skewed keys of
+    plain joins, which adaptive execution splits; the minimum is pre-aggregated before its
+    shuffle, and the roots of large components, ``1 / HOT`` at most, are broadcast.
+    Null ends and self links are ignored; an empty table gives an empty result. The result
+    is a written table; ``spent`` deletes it.
     """
     e = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     e = cut(e.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct())
@@ -32,7 +38,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         step = cut(low.select(F.col("a").alias("u"), F.least(F.col("x"), F.struct(rank("a").alias("r"), F.col("a").alias("v")))["v"].alias("p")))
         steps.append(step)
         moved = e.join(step.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(step.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
-        e = cut(moved.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        left = cut(moved.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        spent(e)
+        e = left
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     if not steps:
@@ -40,5 +48,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     at = steps[0].select(F.col("u").alias("node"), "p")
     for step in steps[1:]:
         at = at.join(step.withColumnRenamed("p", "q"), F.col("p") == F.col("u"), "left").select("node", F.coalesce("q", "p").alias("p"))
-    least = at.groupBy("p").agg(F.min("node").alias("component"))
-    return cut(at.join(least, "p").select("node", "component"))
+    at = cut(at)
+    least = cut(at.groupBy("p").agg(F.min("node").alias("component"), F.count("*").alias("n")))
+    hot = least.where(F.col("n") > at.count() * HOT)
+    near = at.join(F.broadcast(hot.select("p", "component")), "p", "left")
+    rest = near.where("component is null").select("node", "p").join(least.select("p", "component"), "p")
+    out = cut(near.where("component is not null").select("node", "component").unionByName(rest.select("node", "component")))
+    spent(e, at, least, *steps)
+    return out

@@ -6,36 +6,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from provena.llm.common import cut, free_name, mix64
+from provena.llm.common import cut, free_name, held, mix64, small, spent
 
-#: Lines shorter than this many code points count as copies only if they are equal.
-FUZZY_CHARS = 20
+#: White space that is left out of a line's ends.
+BLANK = " \t\n\x0b\x0c\r"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(occ, h1, h2, line)`` for each line that isn't blank.
+def _place(id_col: str, text_col: str) -> Column:
+    """Where a row stands in the order of the corpus, as one number: by id (null last), then
+    the text's hash. A decimal, so that its minimum needs no sort."""
+    own = F.col(id_col).cast("long")
+    late = F.shiftrightunsigned(F.xxhash64(text_col), 2).cast("decimal(19,0)")
+    at = F.coalesce(own, F.lit(0)).cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + late
+    return (F.when(own.isNull(), F.lit(str(1 << 126)).cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")) + at).cast("decimal(38,0)")
 
-    occ orders all lines: by document id (null last), then the text's hash, then place.
-    """
-    t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = t.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    line = F.btrim("raw", F.lit(" \t\n\x0b\x0c\r"))
-    rows = rows.select("id", "th", "pos", line.alias("line")).where("line != ''")
-    occ = F.struct(F.col("id").isNull().alias("last"), F.coalesce("id", F.lit(0)).alias("id"), F.col("th"), F.col("pos"))
-    return rows.select(occ.alias("occ"), F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "line")
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(place, pos, h1, h2, line)`` for each line that isn't blank."""
+    t = docs.select(_place(id_col, text_col).alias("place"), F.col(text_col).alias("text")).where("text is not null")
+    rows = t.select("place", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    rows = rows.select("place", "pos", F.btrim("raw", F.lit(BLANK)).alias("line")).where("line != ''")
+    return rows.select("place", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "line")
 
 
-def _halves() -> Column:
-    """``(side, key)`` pairs; lines one edit apart have one of them in common.
+def _halves() -> list[Column]:
+    """Four keys; lines one edit apart have one of them in common.
 
     Of two lines of n or n + 1 code points, m = n // 2 at least stand unchanged at the
-    start (side 0) or at the end (side 1). A line of 2m + 1 has m as its class, one of 2m
-    also m - 1, so that any two lines that may be one edit apart share a class.
+    start (the first and third key) or at the end. A line of 2m + 1 has m as its class, one
+    of 2m also m - 1, so that any two lines that may be one edit apart share a class.
     """
     n = F.length("line")
     m = F.floor(n / 2).cast("int")
@@ -43,9 +49,16 @@ def _halves() -> Column:
     def keys(c: Column) -> list[Column]:
         head = F.xxhash64(F.lit(0), c, F.substring(F.col("line"), F.lit(1), c))
         tail = F.xxhash64(F.lit(1), c, F.col("line").substr(n - c + 1, c))
-        return [F.struct(F.lit(0).alias("side"), head.alias("key")), F.struct(F.lit(1).alias("side"), tail.alias("key"))]
+        return [head, tail]
+
+    return [*keys(m), *(F.when(n % 2 == 0, k) for k in keys(m - 1))]
 
-    return F.when(n % 2 == 0, F.array(*keys(m), *keys(m - 1))).otherwise(F.array(*keys(m)))
+
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(h1, h2, first, k0, k1, k2, k3)`` of each distinct line: two hashes, the place of the
+    first document that has it, and its halves. Numbers only, summed up before the shuffle."""
+    lines = lines_of(docs, id_col, text_col).select("place", "h1", "h2", *(k.alias(f"k{i}") for i, k in enumerate(_halves())))
+    return lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
 
 
 def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
@@ -62,14 +75,14 @@ def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _variants(near: DataFrame) -> DataFrame:
-    """``(key, role, nid)``: role 0 the line itself, 1 the line without a character, 2 that
-    variant and the place of the character together.
+    """``(key, tag)``: tag is four times ``nid`` plus a role. Role 0 is the line itself, 1 the line
+    without a character, 2 that variant and the place of the character together.
 
     ``near`` holds ``nid, line, sides``: bit 1 of sides says that the line's start stands
     in another line, bit 2 that its end does; the edit is then in the other part, and only
     that part's deletions are emitted.
     """
-    out = pa.schema([("key", pa.int64()), ("role", pa.int32()), ("nid", pa.int64())])
+    out = pa.schema([("key", pa.int64()), ("tag", pa.int64())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,12 +100,11 @@ def _variants(near: DataFrame) -> DataFrame:
                     placed = mix64(less[places] + _BASE * (places + 1).astype(np.uint64))
                 less = np.unique(less[places])
                 key = np.concatenate([own, less, placed]).view(np.int64)
-                role = np.repeat(np.array([0, 1, 2], np.int32), [1, len(less), len(placed)])
+                tag = 4 * nid + np.repeat(np.array([0, 1, 2], np.int64), [1, len(less), len(placed)])
                 for a in range(0, len(key), 100_000):
-                    k = key[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(role[a : a + 100_000]), pa.array(np.full(len(k), nid))], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(tag[a : a + 100_000])], schema=out)
 
-    return near.select("nid", "line", "sides").mapInArrow(go, "key long, role int, nid long")
+    return near.select("nid", "line", "sides").mapInArrow(go, "key long, tag long")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,79 +128,107 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (b.slice(len(key) - 1, 1), bool(keep[-1]))
 
 
-def earlier_neighbours(lines: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
-    """``(h1, h2, before)``: for lines with a different line within one edit, that line's
-    first place if it is earlier than the line's own.
-
-    Lines that share no half with another are left out first (that loses no pair).
-    The rest emit their deletion neighbourhood. Two lines are one edit apart exactly if
-    one is the other without a character (roles 0 and 1 meet in a key) or both are
-    equal but for the character at one place (role 2 meets). In a key the earliest line
-    answers for all its members, so no pairs are listed; the edit distance to it is then
-    verified on the texts. Variants are dealt once and sorted by key, so a key's members
-    stand together and those that meet none are dropped as they stream by.
+def _candidates(lines: DataFrame) -> DataFrame:
+    """``(h1, h2, first, sides)`` of the ``distinct_lines`` that share a half with a different line."""
+    half = lines.select("h1", "h2", "first", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("i", "half")).where("half is not null")
+    live = cut(half.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x != y").select("half"))
+    side = F.when(F.col("i") % 2 == 0, 1).otherwise(2)
+    found = half.join(small(live), "half", "left_semi").groupBy("h1", "h2").agg(F.min("first").alias("first"), F.bit_or(side).alias("sides"))
+    out = cut(found)
+    spent(live)
+    return out
+
+
+def earlier_neighbours(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(h1, h2)`` of lines with a different line within one edit that stands earlier.
+
+    ``lines`` are the ``distinct_lines`` of ``docs``. Lines that share no half with another
+    are left out first (that loses no pair); texts are fetched for the rest only, which emit
+    their deletion neighbourhood. Two lines are one edit apart exactly if one is the other
+    without a character (roles 0 and 1 meet in a key) or both are equal but for the
+    character at one place (role 2 meets). In a key the earliest line answers for all its
+    members, so no pairs are listed; the edit distance to it is then verified on the texts.
+    Variants are dealt once and sorted by key, so a key's members stand together and those
+    that meet none are dropped as they stream by.
     """
-    long = lines.where(F.length("line") >= fuzzy_chars - 1)
-    halves = long.select("h1", "h2", F.explode(_halves()).alias("x")).select("h1", "h2", "x.side", F.col("x.key").alias("half"))
-    live = halves.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x != y").select("half")
-    sides = halves.join(cut(live), "half", "left_semi").groupBy("h1", "h2").agg(F.expr("bit_or(shiftleft(1, side))").alias("sides"))
-    near = long.join(cut(sides), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("occ").alias("occ"), F.first("line").alias("line"), F.first("sides").alias("sides"))
+    some = _candidates(lines)
+    texts = lines_of(docs, id_col, text_col).join(small(some), ["h1", "h2"]).where("place = first")
+    near = texts.groupBy("h1", "h2").agg(F.struct(F.first("first").alias("first"), F.min("pos").alias("pos")).alias("occ"), F.first("line").alias("line"), F.first("sides").alias("sides"))
     near = cut(near.withColumn("nid", F.monotonically_increasing_id()))
     sorted_ = _variants(near).repartition("key").sortWithinPartitions("key")
-    keys = cut(sorted_.mapInArrow(_met, sorted_.schema)).join(near.select("nid", "h1", "h2", "occ"), "nid")
-    best = lambda role: F.min(F.when(F.col("role") == role, F.struct("occ", "h1", "h2")))
+    met = cut(sorted_.mapInArrow(_met, sorted_.schema))
+    keys = met.select("key", (F.col("tag") % 4).alias("role"), F.shiftright("tag", 2).alias("nid")).join(near.select("nid", "h1", "h2", "occ"), "nid")
+    best = lambda role: F.min(F.when(F.col("role") == role, F.struct("occ", "nid")))
     groups = keys.groupBy("key").agg(best(0).alias("own"), best(1).alias("less"), best(2).alias("placed"))
-    met = keys.join(groups, "key")
     other = F.when(F.col("role") == 0, F.col("less")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("placed"))
-    found = met.select("h1", "h2", "occ", other.alias("o")).where("o is not null and o.occ < occ").select("h1", "h2", "o").distinct()
-    texts = near.select("h1", "h2", "line")
-    pairs = found.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other")), (F.col("o.h1") == F.col("o1")) & (F.col("o.h2") == F.col("o2")))
-    checked = pairs.where(F.greatest(F.length("line"), F.length("other")) >= fuzzy_chars).where(F.levenshtein("line", "other", 1) == 1)
-    return checked.groupBy("h1", "h2").agg(F.min("o.occ").alias("before"))
+    found = keys.join(groups, "key").select("nid", "occ", other.alias("o")).where("o is not null and o.occ < occ").select("nid", F.col("o.nid").alias("other")).distinct()
+    pairs = found.join(near.select("nid", "h1", "h2", "line"), "nid").join(near.select(F.col("nid").alias("other"), F.col("line").alias("line2")), "other")
+    out = cut(pairs.where(F.levenshtein("line", "line2", 1) == 1).select("h1", "h2").distinct())
+    spent(some, near, met)
+    return out
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
-    """``(id, th, gone)``: of each document that loses lines, their places from 0.
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(place, kept)``: of each document that keeps lines, the hashes of those it keeps.
 
-    A line goes if an equal line, or one within one edit (insertion, deletion or
-    substitution of a code point; lines of ``fuzzy_chars`` and more), stands earlier in
-    the corpus, whether or not that line is itself dropped.
+    A line is kept by the first document that has it, unless a different line within one
+    edit (insertion, deletion or substitution of a code point) stands earlier in the
+    corpus, whether or not that line is itself dropped.
     """
-    lines = lines_of(docs, id_col, text_col)
-    firsts = lines.groupBy("h1", "h2").agg(F.min("occ").alias("first"), F.count("*").alias("n"))
-    before = earlier_neighbours(lines, fuzzy_chars)
-    repeated = firsts.where("n > 1").select("h1", "h2", "first").unionByName(before.select("h1", "h2", F.lit(None).cast(firsts.schema["first"].dataType).alias("first")))
-    # a line with an earlier neighbour has no place that stays
-    keep = repeated.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max(F.col("first").isNull()).alias("none"))
-    hit = lines.select("occ", "h1", "h2").join(keep, ["h1", "h2"]).where(F.col("none") | (F.col("occ") != F.col("first")))
-    return hit.groupBy("occ.last", "occ.id", "occ.th").agg(F.collect_set("occ.pos").alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy_chars: int = FUZZY_CHARS, report: bool = False) -> DataFrame:
+    lines = cut(distinct_lines(docs, id_col, text_col))
+    gone = earlier_neighbours(docs, lines, id_col, text_col)
+    stay = lines.select("h1", "h2", "first").join(small(gone), ["h1", "h2"], "left_anti")
+    out = held(stay.groupBy(F.col("first").alias("place")).agg(F.collect_list("h1").alias("kept")))
+    spent(lines, gone)
+    return out
+
+
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("n", LongType())]))
+def _without(text: pa.Array, kept: pa.Array) -> pa.Array:
+    """Texts with their blank lines and the first of each kept line, and the number of these."""
+    texts, counts = [], []
+    for t, k in zip(text.cast(pa.binary()).to_pylist(), kept, strict=True):
+        if t is None:
+            texts.append(None)
+            counts.append(0)
+            continue
+        left = set(k.values.to_pylist()) if k.is_valid else set()
+        out = []
+        for raw in t.split(b"\n"):
+            line = raw.strip(BLANK.encode())
+            if line:
+                h = xxhash.xxh64_intdigest(line, 42)
+                h -= (h >> 63) << 64
+                if h not in left:
+                    continue
+                left.remove(h)
+            out.append(raw)
+        texts.append(b"\n".join(out))
+        counts.append(len(out))
+    return pa.StructArray.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["text", "n"])
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """``docs`` with the lines that repeat an earlier one dropped from their texts.
 
     Lines end at ``\\n``, are compared without white space at their ends, and keep it;
-    blank lines always stay. Order is by id (null last), then text, then place. A null
-    text stays null; a text may become empty, its row stays. Rows equal in id and text
-    are the same document and are treated alike. Other columns pass unchanged, but
-    ``n_chars`` is counted anew if there. With ``report``, columns ``lines_in`` and
-    ``lines_out`` follow.
+    blank lines always stay. Of equal lines and of lines one edit apart, however short,
+    the later go. Order is by id (null last), then text, then place. A null text stays
+    null; a text may become empty, its row stays. Rows equal in id and text are the same
+    document and are treated alike. An empty table gives no row. Other columns pass
+    unchanged, whatever their names, but ``n_chars`` is counted anew if there. With
+    ``report``, columns ``lines_in`` and ``lines_out`` follow.
     """
     names = docs.columns
-    gone = repeated_lines(docs, id_col, text_col, fuzzy_chars)
-    g = free_name(names, "gone")
-    gone = gone.select(F.col("last").alias(g + "l"), F.col("id").alias(g + "i"), F.col("th").alias(g + "t"), F.col("gone").alias(g))
-    own = F.col(id_col).cast("long")
-    on = (own.isNull() == F.col(g + "l")) & (F.coalesce(own, F.lit(0)) == F.col(g + "i")) & (F.xxhash64(text_col) == F.col(g + "t"))
-    joined = docs.join(gone, on, "left")
-    parts = F.split(text_col, "\n")
-    text = F.when(F.col(g).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(g), i)), "\n"))
+    at, kept, new = (free_name(names, x) for x in ("place", "kept", "new"))
+    lists = kept_lines(docs, id_col, text_col).select(F.col("place").alias(at), F.col("kept").alias(kept))
+    joined = docs.withColumn(at, _place(id_col, text_col)).join(lists, at, "left").withColumn(new, _without(F.col(text_col), F.col(kept)))
+    text = F.col(new)["text"]
     cols = {text_col: text.alias(text_col)}
     if "n_chars" in names:
         cols["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     out = [cols.get(c, F.col(c)) for c in names]
     if report:
-        n = F.coalesce(F.size(parts), F.lit(0))
-        n = F.when(F.col(text_col).isNull(), 0).otherwise(n)
-        out += [n.cast("long").alias("lines_in"), (n - F.coalesce(F.size(g), F.lit(0))).cast("long").alias("lines_out")]
+        n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n")))
+        out += [n.cast("long").alias("lines_in"), F.col(new)["n"].alias("lines_out")]
     return joined.select(*out)

@@ -53,11 +53,11 @@ u as (select line, min((doc_id, pos)) as first, len(line) as n from l where line
 h as (
   select line, first, n, b, side,
     case when side = 0 then left(line, (b // 2)::int) else right(line, (b - b // 2)::int) end as half
-  from (select *, unnest([n, n - 1]) as b from u where n >= 19), (values (0), (1)) t(side)),
+  from (select *, unnest([n, n - 1]) as b from u), (values (0), (1)) t(side)),
 p as (
   select distinct x.line as a, y.line as c, x.n as na, y.n as nc, x.first as fa, y.first as fc
   from h x join h y on x.b = y.b and x.side = y.side and x.half = y.half and x.line <> y.line
-    and (x.n = y.n or y.n = x.n + 1) and y.n >= 20 and (x.b = x.n)),
+    and (x.n = y.n or y.n = x.n + 1) and (x.b = x.n)),
 v as (
   select *, list_max(list_transform(range(0, na + 1), lambda i: case when left(a, i) = left(c, i) then i else 0 end)) as head
   from p),
