@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Where lineage is cut if the cluster names no shared folder (single machines, tests).
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints"
 #: Rows of a few numbers each that may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,6 +77,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: A key that holds more than this share of a table's rows is joined by broadcast: 10,000 keys at most.
+HOT_SHARE = 1 / 10_000
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` (``total`` of them) with ``keys``, a row for each value of ``on``.
+
+    ``keys`` has a column ``n``, how many of ``rows`` have the value. The frequent ones are
+    broadcast, so no task gets all rows of a value; the others are shuffled. ``n`` is left out.
+    Both are read twice and should be written tables.
+    """
+    hot = F.col("n") > total * HOT_SHARE
+    few = F.broadcast(keys.where(hot).drop("n"))
+    return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(keys.where(~hot).drop("n"), on))
+
+
 def free_name(taken: list[str], base: str) -> str:
     """A column name that is not in ``taken``."""
     low, name = {c.lower() for c in taken}, base

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import cut, spent
-
-
-#: A component with more than this share of all nodes is joined by broadcast.
-HOT = 1 / 10_000
+from provena.llm.common import cut, meet, spent
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -22,7 +18,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     so the rounds grow with the logarithm of the longest path. What a round makes is
     written to the shared folder and deleted when it is spent. Hub nodes are skewed keys of
     plain joins, which adaptive execution splits; the minimum is pre-aggregated before its
-    shuffle, and the roots of large components, ``1 / HOT`` at most, are broadcast.
+    shuffle, and the roots of large components are joined by broadcast.
     Null ends and self links are ignored; an empty table gives an empty result. The result
     is a written table; ``spent`` deletes it.
     """
@@ -44,15 +40,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     if not steps:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        out = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        out._cut_path = e._cut_path
+        return out
     at = steps[0].select(F.col("u").alias("node"), "p")
     for step in steps[1:]:
         at = at.join(step.withColumnRenamed("p", "q"), F.col("p") == F.col("u"), "left").select("node", F.coalesce("q", "p").alias("p"))
     at = cut(at)
     least = cut(at.groupBy("p").agg(F.min("node").alias("component"), F.count("*").alias("n")))
-    hot = least.where(F.col("n") > at.count() * HOT)
-    near = at.join(F.broadcast(hot.select("p", "component")), "p", "left")
-    rest = near.where("component is null").select("node", "p").join(least.select("p", "component"), "p")
-    out = cut(near.where("component is not null").select("node", "component").unionByName(rest.select("node", "component")))
+    out = cut(meet(at, least, "p", at.count()).select("node", "component"))
     spent(e, at, least, *steps)
     return out

@@ -8,21 +8,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import Union, by_group, cut, share
+from provena.llm.common import Union, by_group, cut, held, meet, share, small, spent
 from provena.llm.components import components
-from provena.llm.linededup import _met
-
-#: Distinct fingerprints that fit the shard tree, at most; it bounds the driver's part.
-SAMPLE = 16_384
-#: Distinct fingerprints that a shard of the tree is meant to own.
-SHARD = 1_024
-#: Shards of the tree at most; beyond, shards grow and the variant join takes the large.
-SHARDS = 4_096
-#: A shard with more rows than this is linked by the variant join.
-LARGE = 24_576
+
+#: Distinct fingerprints that a shard of the tree is meant to own, and how many of them are sampled to
+#: grow the tree. The driver holds a node and ``SAMPLED`` fingerprints for each shard.
+SHARD, SAMPLED = 16_384, 16
+#: Fingerprints of a branch that are compared with each other outright.
+LEAF = 256
 #: Differing bits at which fingerprints link.
 RADIUS = 2
 #: Near copies of the pipeline: words of a shingle, and the least Jaccard similarity of two sets of shingles.
@@ -32,6 +28,10 @@ COPY_WORDS, COPY_LEAST = 5, 0.8
 COPY_RADIUS = 24
 #: Documents from which common shingles are learnt, and how many must hold one. They only order the shingles.
 COMMON_SAMPLE, COMMON = 4_000, 20
+#: Pairs for each member of a group that are listed and verified one by one; a group with more is compared whole.
+LISTED = 8
+#: Members of a tile of a group, and members and shingles of a block of a dense cluster.
+TILE, BLOCK, BLOCK_SHINGLES = 4_096, 1_024, 131_072
 
 
 def simhash(text: str | None, k: int = 3, seed: int = 42) -> int:
@@ -111,7 +111,7 @@ class ShardTree:
         return -self.shards
 
     def _grow(self, at: np.ndarray, shards: int, rng: np.random.Generator) -> int:
-        if shards < 2 or len(at) < 8:
+        if shards < 2 or len(at) < 4:
             return self._leaf()
         best = None
         for v in rng.choice(at, min(12, len(at)), replace=False):
@@ -154,70 +154,103 @@ class ShardTree:
         return np.concatenate(rows), np.concatenate(shards)
 
 
-def _shard_links(radius: int):
-    """Links inside one shard, as stars: each row to the smallest id it is joined with."""
+def _labels(near: np.ndarray) -> np.ndarray:
+    """The smallest position that each row of a symmetric matrix reaches."""
+    n = len(near)
+    label = np.arange(n)
+    while True:
+        low = np.where(near, label[None], n).min(1)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def vantage_links(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ``(a, b)``, a < b, of fingerprints that are joined by links of ``radius``: their
+    closure is that of all pairs within ``radius``.
+
+    A vantage-point search: a branch is split by the distance to one of its fingerprints,
+    and what lies within half the radius of the boundary goes both ways, so that every
+    pair meets in one of the two (see ``ShardTree``). Branches of up to ``leaf``, and those
+    in which no vantage point leaves either side 0.9 of the rows or fewer, are compared
+    outright, in blocks.
+    """
+    half = (radius + 1) // 2
+    rng = np.random.default_rng(seed)
+    got: list[tuple[np.ndarray, np.ndarray]] = []
+    todo = [np.arange(len(fp))]
+    while todo:
+        at = todo.pop()
+        best = None
+        if len(at) > leaf:
+            some = fp[at] if len(at) <= 4096 else fp[rng.choice(at, 4096, replace=False)]
+            for v in rng.choice(some, 8):
+                d = np.bitwise_count(some ^ v).astype(np.int64)
+                for m in np.unique(np.quantile(d, [0.35, 0.5, 0.65], method="lower")):
+                    most = max(np.mean(d <= m + half), np.mean(d > m - half))
+                    if most <= 0.9 and (best is None or most < best[0]):
+                        best = (most, v, m)
+        if best is not None:
+            d = np.bitwise_count(fp[at] ^ best[1]).astype(np.int64)
+            near, far = at[d <= best[2] + half], at[d > best[2] - half]
+            if max(len(near), len(far)) < len(at):
+                todo += [near, far]
+                continue
+        for i in range(0, len(at), 1024):
+            for j in range(i, len(at), 1024):
+                x, y = at[i : i + 1024], at[j : j + 1024]
+                rows = np.concatenate([x, y]) if j > i else x
+                label = _labels(np.bitwise_count(fp[rows][:, None] ^ fp[rows][None]) <= radius)
+                far = np.flatnonzero(label != np.arange(len(rows)))
+                got.append((rows[label[far]], rows[far]))
+    if not got:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _shard_links(radius: int, leaf: int):
+    """Links inside one shard, as stars: each row to the smallest id it is joined with there."""
 
     def work(g: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
         order = np.argsort(g["rep"], kind="stable")
         fp, rep = g["fp"][order].view(np.uint64), g["rep"][order]
-        n = len(fp)
-        found = Union(n)
-        step = max(1, 4_000_000 // n)
-        for i in range(0, n - 1, step):
-            near = np.bitwise_count(fp[i : i + step, None] ^ fp[None, i:]) <= radius
-            x, y = np.nonzero(near)
-            for p, q in zip((x + i).tolist(), (y + i).tolist(), strict=True):
-                if p < q:
-                    found.link(p, q)
+        found = Union(len(fp))
+        a, b = vantage_links(fp, radius, leaf)
+        for p, q in zip(a.tolist(), b.tolist(), strict=True):
+            found.link(p, q)
         roots = found.roots()
-        far = roots != np.arange(n)
+        far = roots != np.arange(len(fp))
         return {"a": rep[roots[far]], "b": rep[far]} if far.any() else None
 
     return work
 
 
-def variant_links(fps: DataFrame) -> DataFrame:
-    """All pairs within two bits through what both can reach by changing one bit.
-
-    Exact for a radius of 2, as fingerprints two bits apart have a common one-bit
-    neighbour and those that share one are two apart at most. A group has at most 65
-    distinct members, however dense the shard is; it serves the shards that are large.
-    """
-    near = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    keys = fps.select("rep", F.explode(F.transform(near, lambda m: m.bitwiseXOR(F.col("fp")))).alias("key"))
-    groups = keys.groupBy("key").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
-    return groups.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a != b").distinct()
-
-
-def link(fps: DataFrame, sample: int = SAMPLE, shard: int = SHARD, large: int = LARGE) -> DataFrame:
-    """``(a, b)`` links between the ids of distinct fingerprints ``(fp, rep)``.
+def link(fps: DataFrame, shard: int = SHARD, sampled: int = SAMPLED, leaf: int = LEAF) -> DataFrame:
+    """``(a, b)`` links between the ids of distinct fingerprints ``(fp, rep)``, a written table.
 
-    Joining them gives every pair within two bits: shards of a vantage-point tree are
-    searched in full, and rows near a boundary stand in each shard that may hold a
-    partner. Only the tree, at most ``SHARDS`` nodes, goes to the executors.
+    Joining them gives every pair within two bits: a vantage-point tree, grown from a
+    sample, deals the fingerprints to shards, rows near a boundary to each shard that may
+    hold a partner, and each shard is searched by vantage points of its own. The number
+    of shards follows that of the fingerprints; only the tree goes to the executors.
     """
     spark = fps.sparkSession
     n = fps.count()
-    chosen = fps if n <= sample else fps.where(F.abs(F.xxhash64("fp", F.lit(11)) % F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    got = np.array([r[0] for r in chosen.select("fp").limit(2 * sample).toLocalIterator()], np.int64).view(np.uint64)
-    tree = ShardTree(got, min(SHARDS, max(1, n // shard)))
-    held = spark.sparkContext.broadcast(tree)
+    shards = max(1, math.ceil(n / shard))
+    chosen = fps.where(share(11, "fp") < min(1.0, shards * sampled / max(1, n))) if shards > 1 else fps.limit(0)
+    got = np.array([r[0] for r in chosen.select("fp").toLocalIterator()], np.int64).view(np.uint64)
+    tree = spark.sparkContext.broadcast(ShardTree(got, shards))
     out = pa.schema([("shard", pa.int32()), ("fp", pa.int64()), ("rep", pa.int64())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
-            rows, shards = held.value.route(fp.view(np.uint64))
+            rows, shards = tree.value.route(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(fp[rows]), pa.array(rep[rows])], schema=out)
 
     dealt = fps.select("fp", "rep").mapInArrow(go, "shard int, fp long, rep long")
-    sizes = {r[0]: r[1] for r in dealt.groupBy("shard").count().collect()}  # a row for each shard, SHARDS at most
-    hot = sorted(k for k, v in sizes.items() if v > large or v > 6 * max(1, sum(sizes.values()) // len(sizes)) + 512)
-    plain = dealt.where(~F.col("shard").isin(hot)) if hot else dealt
-    links = by_group(plain, ["shard"], _shard_links(RADIUS), "a long, b long")
-    if hot:
-        links = links.unionByName(variant_links(dealt.where(F.col("shard").isin(hot)).select("fp", "rep").distinct()))
-    return links
+    return cut(by_group(dealt, ["shard"], _shard_links(RADIUS, leaf), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,11 +263,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows stay repeated; an empty table gives no row.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    known = reps.where("rep is not null")
-    comp = components(link(known))
-    of_fp = reps.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    links = link(reps.where("rep is not null"))
+    comp = components(links)
+    of_fp = cut(reps.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n"))
+    out = held(meet(fps, of_fp, "fp", fps.count()).select("doc_id", "fp", "component_id"))
+    spent(fps, reps, links, comp, of_fp)
+    return out
 
 
 def shingle_set(text: str | None, k: int = COPY_WORDS, seed: int = 42) -> np.ndarray:
@@ -258,24 +293,70 @@ def _common(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _close(radius: int, least: float):
-    """Pairs of a group that may be similar and aren't yet in one component."""
+    """Of a tile of a group: ``(0, a, b)`` for pairs that may be similar and aren't yet in one
+    component or, if these are more than ``LISTED`` for each member, ``(1, a, b)`` that joins
+    the members concerned to one of them."""
 
     def work(g: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
-        comp, fp, n, sh = g["comp"], g["fp"].view(np.uint64), g["n"], g["sh"]
-        found = []
-        step = max(1, 4_000_000 // len(sh))
-        for i in range(0, len(sh), step):
-            j = slice(i, i + step)
-            may = (comp[j, None] < comp[None]) & (np.bitwise_count(fp[j, None] ^ fp[None]) <= radius)
-            may &= np.minimum(n[j, None], n[None]) >= least * np.maximum(n[j, None], n[None]) - 1e-9
-            x, y = np.nonzero(may)
-            found.append((sh[x + i], sh[y]))
-        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-        return {"a": a, "b": b} if len(a) else None
+        comp, fp, n, sh, block = g["comp"], g["fp"].view(np.uint64), g["n"], g["sh"], g["block"]
+        one = g["i"][0] == g["j"][0]
+        few: list[tuple[np.ndarray, np.ndarray]] = []
+        count, some = 0, np.zeros(len(sh), bool)
+        step = max(1, 2_000_000 // len(sh))
+        for k in range(0, len(sh), step):
+            x = slice(k, k + step)
+            may = (comp[x, None] != comp[None]) & (np.bitwise_count(fp[x, None] ^ fp[None]) <= radius)
+            may &= np.minimum(n[x, None], n[None]) >= least * np.maximum(n[x, None], n[None]) - 1e-9
+            may &= (sh[x, None] < sh[None]) if one else (block[x, None] == g["i"][0]) & (block[None] == g["j"][0])
+            a, b = np.nonzero(may)
+            some[a + k] = some[b] = True
+            count += len(a)
+            if count <= LISTED * len(sh):
+                few.append((sh[a + k], sh[b]))
+        if not count:
+            return None
+        if count > LISTED * len(sh):
+            b = sh[some]
+            return {"kind": np.ones(len(b), np.int32), "a": np.full(len(b), b.min()), "b": b}
+        a, b = (np.concatenate(c) for c in zip(*few, strict=True))
+        return {"kind": np.zeros(len(a), np.int32), "a": a, "b": b}
 
     return work
 
 
+def _similar(least: float):
+    """Links of a tile of a dense cluster, as stars, from the overlaps of all its sets."""
+
+    def work(g: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+        sh, start = np.unique(g["sh"], return_index=True)
+        sets = [np.frombuffer(g["shingles"][k], np.uint64) for k in start]
+        n = np.array([len(x) for x in sets])
+        _, col, held_by = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), n)
+        shared = held_by > 1
+        place = np.cumsum(shared) - 1
+        row, col = row[shared[col]], place[col[shared[col]]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        same = np.zeros((len(sets), len(sets)), np.float32)
+        width = 2048
+        edges = np.searchsorted(col, np.arange(0, int(shared.sum()) + width, width))
+        for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+            has = np.zeros((len(sets), width), np.float32)
+            has[row[x:y], col[x:y] - k * width] = 1
+            same += has @ has.T
+        label = _labels(same >= least * (n[:, None] + n[None] - same) - 1e-9)
+        far = np.flatnonzero(label != np.arange(len(sets)))
+        return {"a": sh[label[far]], "b": sh[far]} if len(far) else None
+
+    return work
+
+
+def _tiles(block: Column, blocks: Column) -> Column:
+    """The tiles ``(i, j)`` that a row of ``block`` belongs to; rows of any two blocks meet in one."""
+    return F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.struct(F.least(block, c).alias("i"), F.greatest(block, c).alias("j"))))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COPY_WORDS, least: float = COPY_LEAST, radius: int = COPY_RADIUS) -> DataFrame:
     """``(doc_id, first)`` of rows with an id: first is the smallest id that is reachable by
     pairs whose sets of ``k``-word shingles have a Jaccard similarity of ``least`` or more.
@@ -284,11 +365,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefixes: under any order of all shingles, two sets that are similar share one of the
     first n - ceil(least * n) + 1 of each. Those of similar size and with fingerprints
     within ``radius`` are verified on the whole sets. First each set is paired with the
-    smallest of each key; what that joins needn't be compared again, so a dense group
-    costs no pairs. Then all pairs of a key in different components are listed.
+    smallest of each key; what that joins needn't be compared again. Of each key's sets in
+    different components the pairs are then listed, unless they are more than ``LISTED``
+    for each set: such dense groups are gathered to clusters, whose sets are compared
+    whole, block by block, so that no pairs are written for them.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    held = docs.sparkSession.sparkContext.broadcast(_common(texts, k))
+    common = docs.sparkSession.sparkContext.broadcast(_common(texts, k))
     out = pa.schema([("doc_id", pa.int64()), ("sh", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,47 +379,79 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sets = [shingle_set(t.as_py(), k) for t in b.column(1)]
             first = []
             for h in sets:
-                late = np.isin(h, held.value, assume_unique=True)
+                late = np.isin(h, common.value, assume_unique=True)
                 first.append(np.concatenate([h[~late], h[late]])[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].view(np.int64))
             sh = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
             fp = np.array([_majority(h) for h in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sh), pa.array(fp), pa.array([len(h) for h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], schema=out)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("sh", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        kind = pa.schema([("sh", pa.int64()), ("shingles", pa.binary())])
         for b in batches:
             sets = [shingle_set(t.as_py(), k) for t in b.column(0)]
             sh = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sh), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], schema=kind)
+            yield pa.RecordBatch.from_arrays([pa.array(sh), pa.array([h.tobytes() for h in sets], pa.binary())], schema=kind)
+
+    def same(a: pa.Array, b: pa.Array) -> pa.Array:
+        sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True))
+        found = ((len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in sets)
+        return pa.array([s >= least * (n - s) - 1e-9 for s, n in found], pa.bool_())
 
     rows = cut(texts.mapInArrow(go, "doc_id long, sh long, fp long, n long, prefix array<long>"))
-    sets = cut(rows.groupBy("sh").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")))
-    one = rows.join(sets.select("sh", "rep"), "sh").where("doc_id = rep").select("sh", "prefix").dropDuplicates(["sh"])
-    keys = one.select(F.explode("prefix").alias("key"), "sh").repartition("key").sortWithinPartitions("key")
-    met = cut(keys.mapInArrow(_met, keys.schema))
+    sets = cut(rows.groupBy("sh").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("size"), F.count("*").alias("n")))
+    one = rows.join(sets.select("sh", F.col("rep").alias("doc_id")), ["sh", "doc_id"], "left_semi").select("sh", "prefix")
+    keys = one.select(F.explode("prefix").alias("key"), "sh")
+    live = cut(keys.groupBy("key").agg(F.min("sh").alias("low"), F.max("sh").alias("high"), F.count("*").alias("c")).where("low != high").drop("high"))
+    met = cut(keys.join(small(live), "key"))
+    spent(live)
+
+    def fetched(which: DataFrame) -> DataFrame:
+        """The whole sets of ``sh``, read from the texts of their first documents."""
+        need = cut(sets.join(which, "sh", "left_semi").select(F.col("rep").alias("doc_id")))
+        full = cut(texts.join(small(need), "doc_id", "left_semi").select("text").mapInArrow(whole, "sh long, shingles binary").dropDuplicates(["sh"]))
+        spent(need)
+        return full
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        need = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sh")).distinct(), "sh").select(F.col("rep").alias("doc_id"))
-        full = texts.join(need, "doc_id", "left_semi").select("text").mapInArrow(whole, "sh long, shingles array<long>")
-        full = cut(full.groupBy("sh").agg(F.first("shingles").alias("shingles")))
+        full = fetched(pairs.select(F.explode(F.array("a", "b")).alias("sh")))
         both = pairs.join(full.select(F.col("sh").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("sh").alias("b"), F.col("shingles").alias("y")), "b")
-        same = F.size(F.array_intersect("x", "y"))
-        return cut(both.where(same >= least * (F.size("x") + F.size("y") - same) - 1e-9).select("a", "b"))
-
-    side = lambda x: sets.select(F.col("sh").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"))
-    stars = met.join(met.groupBy("key").agg(F.min("sh").alias("a")), "key").where("a != sh").select("a", F.col("sh").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius)
-    links = verified(stars.where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9).select("a", "b"))
+        out = cut(both.where(F.arrow_udf(same, "boolean")("x", "y")).select("a", "b"))
+        spent(full)
+        return out
+
+    side = lambda x: sets.select(F.col("sh").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("size").alias(f"n_{x}"))
+    stars = met.where("low != sh").select(F.col("low").alias("a"), F.col("sh").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    stars = stars.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius).where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    stars = cut(stars.select("a", "b"))
+    links = verified(stars)
     of = components(links)
-    left = met.join(of, F.col("sh") == F.col("node"), "left").select("key", "sh", F.coalesce("component", "sh").alias("comp"))
-    some = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    left = left.join(some, "key", "left_semi").join(sets.select("sh", "fp", "n"), "sh")
-    more = by_group(left.select("key", "sh", "comp", "fp", "n"), ["key"], _close(radius, least), "a long, b long").distinct()
-    of = components(links.unionByName(verified(more)))
-    at = sets.join(of, F.col("sh") == F.col("node"), "left").select("sh", "rep", F.coalesce("component", "sh").alias("comp"))
-    first = at.join(at.groupBy("comp").agg(F.min("rep").alias("first")), "comp").select("sh", "first")
-    return rows.select("doc_id", "sh").join(first, "sh").select("doc_id", "first")
+    left = cut(met.join(of, F.col("sh") == F.col("node"), "left").select("key", "sh", "c", F.coalesce("component", "sh").alias("comp")))
+    open_ = cut(left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key"))
+    blocks = F.ceil(F.col("c") / TILE).cast("int")
+    left = left.join(small(open_), "key", "left_semi").join(sets.select("sh", "fp", F.col("size").alias("n")), "sh").withColumn("block", F.pmod(F.xxhash64("sh", F.lit(5)), blocks).cast("int"))
+    tiled = left.select("key", _tiles(F.col("block"), blocks).alias("t"), "block", "sh", "comp", "fp", "n").select("key", "t.i", "t.j", "block", "sh", "comp", "fp", "n")
+    found = cut(by_group(tiled, ["key", "i", "j"], _close(radius, least), "kind int, a long, b long"))
+    pairs = cut(found.where("kind = 0").select("a", "b").distinct())
+    more = verified(pairs)
+
+    dense = components(found.where("kind = 1"))
+    sizes = dense.join(sets.select(F.col("sh").alias("node"), "size"), "node")
+    blocks = F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int")
+    clusters = cut(sizes.groupBy("component").agg(blocks.alias("blocks"), F.count("*").alias("n")))
+    full = fetched(dense.select(F.col("node").alias("sh")))
+    members = cut(meet(dense, clusters, "component", dense.count()))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    members = members.select(F.col("node").alias("sh"), "component", _tiles(F.col("block"), F.col("blocks")).alias("t")).join(full, "sh")
+    whole_links = cut(by_group(members.select("component", "t.i", "t.j", "sh", "shingles"), ["component", "i", "j"], _similar(least), "a long, b long"))
+    spent(of, met, stars, found, pairs, open_, dense, clusters, full)
+
+    of = components(links.unionByName(more).unionByName(whole_links))
+    at = cut(sets.join(of, F.col("sh") == F.col("node"), "left").select("sh", "rep", "n", F.coalesce("component", "sh").alias("comp")))
+    lowest = at.groupBy("comp").agg(F.min("rep").alias("first"))
+    first = cut(at.join(lowest, "comp").select("sh", "first", "n"))
+    out = held(meet(rows.select("doc_id", "sh"), first, "sh", rows.count()).select("doc_id", "first"))
+    spent(rows, sets, links, more, whole_links, of, at, first)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,4 +461,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay. Rows with a null id are kept, as nothing tells them apart.
     """
     drop = near_copies(docs, id_col, text_col).where("doc_id != first").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    return docs.join(small(drop), id_col, "left_anti").select(*docs.columns)

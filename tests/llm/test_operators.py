@@ -89,8 +89,8 @@ def test_simhash_matches_brute_force(spark):
     assert got == {i: (fp[i], want[i]) for i in want}
 
 
-@pytest.mark.parametrize("large", [10**9, 0])
-def test_vantage_shards_lose_no_pair(spark, large):
+@pytest.mark.parametrize(("shard", "leaf"), [(60, 8), (60, 10**9), (10**9, 8)])
+def test_vantage_shards_lose_no_pair(spark, shard, leaf):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 900, dtype=np.int64).astype(np.uint64)
     near = base[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
@@ -99,7 +99,7 @@ def test_vantage_shards_lose_no_pair(spark, large):
     pairs = [(i, j) for i in range(len(fp)) for j in (np.flatnonzero(np.bitwise_count(fp[i] ^ fp[i + 1 :]) <= 2) + i + 1).tolist()]
     want = brute_components(range(len(fp)), pairs)
     df = spark.createDataFrame([(int(x), i) for i, x in enumerate(fp.view(np.int64))], "fp long, rep long")
-    comp = {r[0]: r[1] for r in components(simhash.link(df, shard=60, large=large)).collect()}
+    comp = {r[0]: r[1] for r in components(simhash.link(df, shard=shard, leaf=leaf)).collect()}
     assert {i: comp.get(i, i) for i in want} == want
     tree = simhash.ShardTree(fp, 16)
     assert tree.shards > 4
@@ -122,7 +122,12 @@ def test_simhash_odd(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
 
 
-def test_near_copies_match_brute_force(spark):
+@pytest.mark.parametrize(("listed", "tile", "block"), [(None, None, None), (0, 16, 16)])
+def test_near_copies_match_brute_force(spark, monkeypatch, listed, tile, block):
+    """Also with every group taken as dense and dealt to small tiles and blocks."""
+    if listed is not None:
+        for name, value in (("LISTED", listed), ("TILE", tile), ("BLOCK", block)):
+            monkeypatch.setattr(simhash, name, value)
     rng = random.Random(8)
     texts = [text_of(rng, n).split() for n in [3, 5, 8] * 4 + [40, 90, 200] * 10]
     for base in texts[12:30]:
