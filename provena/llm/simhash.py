@@ -157,6 +157,7 @@ class ShardTree:
 def _labels(near: np.ndarray) -> np.ndarray:
     """The smallest position that each row of a symmetric matrix reaches."""
     n = len(near)
+    np.fill_diagonal(near, True)
     label = np.arange(n)
     while True:
         low = np.where(near, label[None], n).min(1)
