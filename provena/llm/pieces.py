@@ -21,9 +21,9 @@ TOP_K = 2
 #: Sharpness of the distribution over segmentations.
 ALPHA = 1.0
 #: Lattice edges that a worker remembers.
-REMEMBERED = 6_000_000
+REMEMBERED = 2_000_000
 #: Code points that are sampled in one go (one text may hold more).
-TOGETHER = 600_000
+TOGETHER = 200_000
 SPACE = "▁"
 #: Stands for a literal U+2581 among code points.
 LITERAL = 0x110000
