@@ -256,7 +256,8 @@ def test_lines_odd(spark):
 
 
 def test_language_model(spark):
-    model = langid.LanguageModel(["a", "b"], [("a", "0the", 9), ("b", "0der", 9), ("a", "3the", 9), ("b", "3der", 9), ("a", "1e", 5), ("b", "1e", 5)])
+    units = ["0the", "0der", "3the", "3der", "1e"]
+    model = langid.LanguageModel(["a", "b"], units, np.array([[9, 0], [0, 9], [9, 0], [0, 9], [5, 5]]))
     score = langid.Scorer(model)
     assert score("The") == score("the") and score("the")[0] == "a" and score("der")[0] == "b"
     assert score("xthex")[0] == "a" and score("derder")[0] == "b"
@@ -264,6 +265,48 @@ def test_language_model(spark):
     assert all(0 <= score(t)[1] <= 1 for t in ("the der", "zzz", "the " * 5000))
 
 
+def test_language_matches_brute_force(spark):
+    """Every prediction anew, word by word, from counts that are taken from the texts here."""
+    rng = random.Random(6)
+    tongues = {"de": "der und nicht straße über", "en": "the and not street over", "xx": "zu ümlaut né \u0436\u0437 the"}
+    rows = [(i, " ".join(rng.choices(tongues[x].split() + [text_of(rng, 1)], k=rng.randint(1, 30))), x, "s", 0) for i, x in enumerate(rng.choices(list(tongues), k=150))]
+    rows += [(900, None, "de", "s", 0), (901, "1 2", "en", "s", 0), (902, "Unbekannt \U0001d400", None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    langs = sorted(tongues)
+    counts: dict[str, Counter] = {}
+    for _, t, x, _, _ in rows:
+        for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split() if x else []:
+            m = f"\x02{w}\x03"
+            for u in ["0" + w] + [f"{k}{m[i:i + k]}" for k in range(1, 5) for i in range(len(m) - k + 1)]:
+                counts.setdefault(u, Counter())[x] += 1
+    counts = {u: c for u, c in counts.items() if c.total() > 1}
+    total = {k: [sum(c[x] for u, c in counts.items() if u[0] == k) for x in langs] for k in "01234"}
+    size = Counter(u[0] for u in counts)
+
+    def log_of(u):
+        return [math.log((counts[u][x] + 0.1) / (total[u[0]][i] + 0.1 * (size[u[0]] + 1))) for i, x in enumerate(langs)]
+
+    def word(w):
+        if "0" + w in counts:
+            got = [log_of("0" + w)]
+        else:
+            m = f"\x02{w}\x03"
+            longest = [next((f"{k}{m[i:i + k]}" for k in range(min(4, len(m) - i), 0, -1) if f"{k}{m[i:i + k]}" in counts), None) for i in range(len(m) - 1)]
+            got = [log_of(u) for u in longest if u] or [[0.0] * 3]
+        mean = [sum(x) / len(got) for x in zip(*got, strict=True)]
+        return [x - sum(mean) / 3 for x in mean]
+
+    model = langid.fit(docs, F.lit(True), fit_docs=10**6)
+    for r in langid.predict(docs, model).collect():
+        words = "".join(c if c.isalpha() else " " for c in (dict((i, t) for i, t, *_ in rows)[r.doc_id] or "").lower()).split()
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        s = [sum(x) / math.sqrt(len(words)) for x in zip(*map(word, words), strict=True)]
+        assert abs(r.score - 1 / sum(math.exp(x - max(s)) for x in s)) < 1e-4
+        assert s[langs.index(r.lang_pred)] > max(s) - 1e-4
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
