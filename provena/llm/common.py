@@ -111,6 +111,13 @@ def share(seed: int, *cols) -> F.Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11)).cast("double") / F.lit(float(1 << 53))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that little is held of them at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def columns_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """Numpy arrays of a batch without nulls; list columns become matrices."""
     out = {}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import mix64, share
+from provena.llm.common import mix64, share, slices
 
 #: Documents that a model is fitted on, at most (about as many of each language).
 FIT_DOCS = 6_000
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(held.value)
-        for b in batches:
+        for b in slices(batches):
             got = score.many(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema=out)
 
@@ -228,7 +228,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", le
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(held.value)
-        for b in batches:
+        for b in slices(batches):
             got = score.many(b.column(at).to_pylist())
             yield b.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
 

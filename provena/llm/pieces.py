@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import mix64
+from provena.llm.common import mix64, slices
 
 #: Where the model lies on every machine.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -463,7 +463,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             same = [all(spell(s[0]) == w for s in g) for g, w in zip(got, want, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(g[0][0]) for g in got], pa.int64()), segs, pa.array(same)], schema=out)
 
-        for b in batches:
+        for b in slices(batches):
             ids, texts, n = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = t.as_py() or ""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import Union, by_group, cut, held, meet, share, small, spent
+from provena.llm.common import Union, by_group, cut, held, meet, mix64, share, slices, small, spent
 from provena.llm.components import components
 
 #: Distinct fingerprints that a shard of the tree is meant to own, and how many of them are sampled to
@@ -23,9 +24,9 @@ LEAF = 256
 RADIUS = 2
 #: Near copies of the pipeline: words of a shingle, and the least Jaccard similarity of two sets of shingles.
 COPY_WORDS, COPY_LEAST = 5, 0.8
-#: Differing bits beyond which two sets aren't compared. At similarity 0.8 a bit differs with odds of at most 0.152,
-#: so 10 of 64 are expected and, were bits independent, over 24 in three of a million pairs (not measured).
-COPY_RADIUS = 24
+#: Differing bits of 256 beyond which two sets aren't compared. At similarity 0.8 a bit differs with odds of at most
+#: 0.152, so 39 are expected and, were bits independent, over 68 in one of three million pairs (not measured).
+COPY_RADIUS = 68
 #: Documents from which common shingles are learnt, and how many must hold one. They only order the shingles.
 COMMON_SAMPLE, COMMON = 4_000, 20
 #: Pairs for each member of a group that are listed and verified one by one; a group with more is compared whole.
@@ -293,27 +294,41 @@ def _common(texts: DataFrame, k: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in got.collect()], np.int64).view(np.uint64))
 
 
+FPS = [f"f{i}" for i in range(4)]
+
+
+def wide_simhash(h: np.ndarray) -> list[int]:
+    """Four 64-bit SimHash fingerprints of a set of hashes, as signed longs."""
+    with np.errstate(over="ignore"):
+        salted = [h, *(mix64(h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(i)) for i in range(1, 4))]
+    return [x - ((x >> 63) << 64) for x in map(_majority, salted)]
+
+
 def _close(radius: int, least: float):
     """Of a tile of a group: ``(0, a, b)`` for pairs that may be similar and aren't yet in one
     component or, if these are more than ``LISTED`` for each member, ``(1, a, b)`` that joins
     the members concerned to one of them."""
 
     def work(g: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
-        comp, fp, n, sh, block = g["comp"], g["fp"].view(np.uint64), g["n"], g["sh"], g["block"]
+        comp, n, sh, block = g["comp"], g["n"], g["sh"], g["block"]
+        fps = [g[f] for f in FPS]
         one = g["i"][0] == g["j"][0]
         few: list[tuple[np.ndarray, np.ndarray]] = []
         count, some = 0, np.zeros(len(sh), bool)
         step = max(1, 2_000_000 // len(sh))
         for k in range(0, len(sh), step):
             x = slice(k, k + step)
-            may = (comp[x, None] != comp[None]) & (np.bitwise_count(fp[x, None] ^ fp[None]) <= radius)
+            may = comp[x, None] != comp[None]
             may &= np.minimum(n[x, None], n[None]) >= least * np.maximum(n[x, None], n[None]) - 1e-9
             may &= (sh[x, None] < sh[None]) if one else (block[x, None] == g["i"][0]) & (block[None] == g["j"][0])
             a, b = np.nonzero(may)
-            some[a + k] = some[b] = True
+            a += k
+            apart = sum(np.bitwise_count((f[a] ^ f[b]).view(np.uint64)).astype(np.int64) for f in fps)
+            a, b = a[apart <= radius], b[apart <= radius]
+            some[a] = some[b] = True
             count += len(a)
             if count <= LISTED * len(sh):
-                few.append((sh[a + k], sh[b]))
+                few.append((sh[a], sh[b]))
         if not count:
             return None
         if count > LISTED * len(sh):
@@ -373,22 +388,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     common = docs.sparkSession.sparkContext.broadcast(_common(texts, k))
-    out = pa.schema([("doc_id", pa.int64()), ("sh", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("sh", pa.int64()), *((f, pa.int64()) for f in FPS), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t.as_py(), k) for t in b.column(1)]
             first = []
             for h in sets:
                 late = np.isin(h, common.value, assume_unique=True)
                 first.append(np.concatenate([h[~late], h[late]])[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].view(np.int64))
             sh = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-            fp = np.array([_majority(h) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sh), pa.array(fp), pa.array([len(h) for h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], schema=out)
+            fps = np.array([wide_simhash(h) for h in sets], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sh), *(pa.array(fps[:, i]) for i in range(4)), pa.array([len(h) for h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], schema=out)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("sh", pa.int64()), ("shingles", pa.binary())])
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t.as_py(), k) for t in b.column(0)]
             sh = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sh), pa.array([h.tobytes() for h in sets], pa.binary())], schema=kind)
@@ -398,8 +413,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = ((len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in sets)
         return pa.array([s >= least * (n - s) - 1e-9 for s, n in found], pa.bool_())
 
-    rows = cut(texts.mapInArrow(go, "doc_id long, sh long, fp long, n long, prefix array<long>"))
-    sets = cut(rows.groupBy("sh").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("size"), F.count("*").alias("n")))
+    rows = cut(texts.mapInArrow(go, "doc_id long, sh long, f0 long, f1 long, f2 long, f3 long, n long, prefix array<long>"))
+    sets = cut(rows.groupBy("sh").agg(F.min("doc_id").alias("rep"), *(F.first(f).alias(f) for f in FPS), F.first("n").alias("size"), F.count("*").alias("n")))
     one = rows.join(sets.select("sh", F.col("rep").alias("doc_id")), ["sh", "doc_id"], "left_semi").select("sh", "prefix")
     keys = one.select(F.explode("prefix").alias("key"), "sh")
     live = cut(keys.groupBy("key").agg(F.min("sh").alias("low"), F.max("sh").alias("high"), F.count("*").alias("c")).where("low != high").drop("high"))
@@ -420,17 +435,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         spent(full)
         return out
 
-    side = lambda x: sets.select(F.col("sh").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("size").alias(f"n_{x}"))
+    side = lambda x: sets.select(F.col("sh").alias(x), *(F.col(f).alias(f"{f}_{x}") for f in FPS), F.col("size").alias(f"n_{x}"))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in FPS])
     stars = met.where("low != sh").select(F.col("low").alias("a"), F.col("sh").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    stars = stars.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius).where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    stars = stars.where(apart <= radius).where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
     stars = cut(stars.select("a", "b"))
     links = verified(stars)
     of = components(links)
     left = cut(met.join(of, F.col("sh") == F.col("node"), "left").select("key", "sh", "c", F.coalesce("component", "sh").alias("comp")))
     open_ = cut(left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key"))
     blocks = F.ceil(F.col("c") / TILE).cast("int")
-    left = left.join(small(open_), "key", "left_semi").join(sets.select("sh", "fp", F.col("size").alias("n")), "sh").withColumn("block", F.pmod(F.xxhash64("sh", F.lit(5)), blocks).cast("int"))
-    tiled = left.select("key", _tiles(F.col("block"), blocks).alias("t"), "block", "sh", "comp", "fp", "n").select("key", "t.i", "t.j", "block", "sh", "comp", "fp", "n")
+    left = left.join(small(open_), "key", "left_semi").join(sets.select("sh", *FPS, F.col("size").alias("n")), "sh").withColumn("block", F.pmod(F.xxhash64("sh", F.lit(5)), blocks).cast("int"))
+    tiled = left.select("key", _tiles(F.col("block"), blocks).alias("t"), "block", "sh", "comp", *FPS, "n").select("key", "t.i", "t.j", "block", "sh", "comp", *FPS, "n")
     found = cut(by_group(tiled, ["key", "i", "j"], _close(radius, least), "kind int, a long, b long"))
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
     more = verified(pairs)
