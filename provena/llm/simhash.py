@@ -32,7 +32,7 @@ COMMON_SAMPLE, COMMON = 4_000, 20
 #: Pairs for each member of a group that are listed and verified one by one; a group with more is compared whole.
 LISTED = 8
 #: Members of a tile of a group, and members and shingles of a block of a dense cluster.
-TILE, BLOCK, BLOCK_SHINGLES = 4_096, 1_024, 131_072
+TILE, BLOCK, BLOCK_SHINGLES = 4_096, 512, 131_072
 
 
 def simhash(text: str | None, k: int = 3, seed: int = 42) -> int:
