@@ -65,8 +65,7 @@ def feature_words(c: Column) -> Column:
 
 def index_tokens(c: Column) -> Column:
     """Tokens of the ranked index: Latin or Cyrillic, three characters or more, no stop words."""
-    stops = strings(lex.INDEX_STOPS)
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[a-zA-Z\x{400}-\x{4FF}']{3,}"), F.lit(0)), lambda t: ~F.array_contains(stops, t))
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[a-zA-Z\x{400}-\x{4FF}']{3,}"), F.lit(0)), lambda t: ~t.isin(lex.INDEX_STOPS))
 
 
 def by_lang(lang: Column, table: dict[str, Column]) -> Column:
@@ -82,9 +81,8 @@ def match_tokens(c: Column, lang: Column) -> Column:
     """Tokens for matching: words stripped to the language's letters, three or more, no stops."""
 
     def one(k: str, other: str) -> Column:
-        stops = strings(lex.STOP_WORDS[k])
         bare = F.transform(words(c), lambda w: F.regexp_replace(F.lower(w), other, ""))
-        return F.filter(bare, lambda w: (F.length(w) > 2) & ~F.array_contains(stops, w))
+        return F.filter(bare, lambda w: (F.length(w) > 2) & ~w.isin(lex.STOP_WORDS[k]))
 
     return by_lang(lang, {"en": one("en", "[^a-zA-Z]"), "uz": one("uz", "[^a-zA-Z']"), "ru": one("ru", r"[^\x{400}-\x{4FF}]")})
 
@@ -211,6 +209,32 @@ def ngrams(tokens: Column, n: int | Column) -> Column:
     return let(tokens, runs)
 
 
+def tally(values: Column) -> Column:
+    """``(v, n)`` of each distinct value of an array and how often it stands there, by value.
+
+    The array is sorted and cut where the value changes, so a text's own counts need no shuffle.
+    """
+
+    def cut(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return let(starts, lambda b: F.zip_with(b, F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(n + 1)), lambda x, y: F.struct(F.get(s, x - 1).alias("v"), (y - x).alias("n"))))
+
+    def some(s: Column) -> Column:
+        return F.when(F.size(s) > 0, cut(s)).otherwise(F.slice(F.transform(s, lambda x: F.struct(x.alias("v"), F.lit(1).alias("n"))), 1, 0))
+
+    return let(F.array_sort(values), some)
+
+
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the runs of n values; none if there are fewer. A run of one is the value."""
+    if n == 1:
+        return tokens
+    at = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))
+    runs = F.transform(at, lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(n)]))
+    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def winnow(hashes: Column, window: int) -> Column:
     """The distinct least hashes of all windows; of fewer hashes all of them."""
 

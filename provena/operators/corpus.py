@@ -43,8 +43,10 @@ def first_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 def admitted(docs: DataFrame) -> DataFrame:
     """What the ranked index takes: some quality, then the first of each fingerprint, then
     ten tokens or more. A short first copy thus shadows later ones."""
-    rows = scored(docs).where("quality > 0").select("doc_id", "text", "lang", "quality", "fingerprint")
-    return first_of(rows, "fingerprint", ["doc_id"]).withColumn("tokens", tx.index_tokens(F.col("text"))).where(F.size("tokens") >= 10)
+    rows = scored(docs).where("quality > 0")
+    firsts = rows.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "quality")).alias("at")).select("at.doc_id", "at.quality")
+    texts = docs.select("doc_id", "text", "lang").join(firsts, "doc_id")
+    return tx.pinned(texts, tokens=tx.index_tokens(F.col("text"))).where(F.size("tokens") >= 10)
 
 
 def audit(docs: DataFrame, *keys: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions import lexicons as lex
@@ -47,33 +47,42 @@ def _base(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n_words", F.greatest(F.size("w"), F.lit(1))).withColumn("n_sents", F.greatest(F.size("sents"), F.lit(1)))
 
 
-def moving_variety(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, mattr)``: the mean share of distinct words over all windows.
+def moving_variety(h: Column, window: int = WINDOW) -> Column:
+    """The mean share of distinct values of an array over all its windows.
 
-    A word's place counts in the windows in which it is the word's first: from the
-    place before last, or the window's reach, up to the place itself. So each word adds
-    a number that a look at its last place gives, and no window is built.
+    A place counts in the windows in which it is its value's first: from the place after
+    the last one of that value, or the window's reach, up to the place itself. With places
+    sorted by value, the one before stands beside, and no window is built.
     """
-    pos = docs.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("p", "t"))
-    before = F.lag("p").over(Window.partitionBy("doc_id", "t").orderBy("p"))
     w = F.lit(window)
-    start = F.greatest(F.lit(0), F.col("p") - w + 1, F.coalesce(before + 1, F.lit(0)))
-    firsts = F.greatest(F.least(F.col("p"), F.col("n") - w) - start + 1, F.lit(0))
-    long = pos.where(F.col("n") > window).select("doc_id", "n", firsts.alias("f")).groupBy("doc_id").agg((F.sum("f") / (w * (F.first("n") - w + 1))).alias("mattr"))
-    return long
 
+    def of(s: Column) -> Column:
+        n = F.size(s)
 
-def gram_repeats(rows: DataFrame, words: str, prefix: str) -> DataFrame:
-    """``(doc_id, <p>2, <p>3, <p>h)``: shares of bigrams and trigrams that occur again, and
-    the bigrams' entropy in bits over the largest it could be."""
+        def firsts(x: Column, i: Column) -> Column:
+            last = F.get(s, i - 1)
+            after = F.when(last["h"] == x["h"], last["p"] + 1).otherwise(0)
+            return F.greatest(F.least(x["p"], n - w) - F.greatest(F.lit(0), x["p"] - w + 1, F.coalesce(after, F.lit(0))) + 1, F.lit(0))
 
-    def counted(n: int) -> DataFrame:
-        return rows.select("doc_id", F.explode(tx.ngrams(F.col(words), n)).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("c"))
+        total = F.aggregate(F.transform(s, firsts), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.when(n > w, total / (w * (n - w + 1)))
 
-    two = counted(2).groupBy("doc_id").agg((F.count_if(F.col("c") > 1) / F.count("*")).alias(prefix + "2"), F.sum("c").alias("t"), F.sum(F.col("c") * F.log2("c")).alias("cl"), F.count("*").alias("d"))
-    two = two.select("doc_id", prefix + "2", ((F.log2("t") - F.col("cl") / F.col("t")) / F.greatest(F.log2("d"), F.lit(1.0))).alias(prefix + "h"))
-    three = counted(3).groupBy("doc_id").agg((F.count_if(F.col("c") > 1) / F.count("*")).alias(prefix + "3"))
-    return two.join(three, "doc_id", "left")
+    return tx.let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))), of)
+
+
+def repeats(grams: Column) -> Column:
+    """A struct of an array's ``share`` of distinct values that occur again (null if it is
+    empty), and the ``entropy`` of its values in bits over the largest it could be."""
+
+    def of(c: Column) -> Column:
+        n = F.transform(c, lambda x: x["n"].cast("double"))
+        d, t = F.size(c), F.aggregate(n, F.lit(0.0), lambda a, x: a + x)
+        cl = F.aggregate(n, F.lit(0.0), lambda a, x: a + x * F.log2(x))
+        again = F.size(F.filter(c, lambda x: x["n"] > 1))
+        some = F.struct((again / d).alias("share"), ((F.log2(t) - cl / t) / F.greatest(F.log2(d), F.lit(1.0))).alias("entropy"))
+        return F.when(d > 0, some)
+
+    return tx.let(tx.tally(grams), of)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -110,9 +119,9 @@ def features(docs: DataFrame) -> DataFrame:
     wrong, right = count(lex.UZ_APOSTROPHES), count("o'") + count("g'")
     uz = lambda x: F.when(lang == "uz", x).otherwise(0.0)
     b = b.withColumns({"uz_apostrophe_error": uz(wrong / F.greatest(right + wrong, F.lit(1))), "uz_hisoblanadi_density": uz(count(lex.UZ_COPULA) / sents), "uz_template_starts": uz(count(lex.UZ_OPENINGS) / F.greatest(F.size("paras"), F.lit(1)))})
-    tri = b.select("doc_id", F.explode(tx.ngrams(F.col("w"), 3)).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("c")).groupBy("doc_id").agg((F.count_if(F.col("c") > 1) / F.count("*")).alias("rt"))
-    rows = b.join(moving_variety(b), "doc_id", "left").join(tri, "doc_id", "left")
-    rows = rows.withColumn("mattr", F.coalesce("mattr", "ttr")).withColumn("repeated_trigram_ratio", F.coalesce("rt", F.lit(0.0)))
+    b = tx.pinned(b, h=F.transform("w", lambda x: F.xxhash64(x)))
+    rows = b.withColumn("mattr", F.coalesce(moving_variety(F.col("h")), "ttr"))
+    rows = rows.withColumn("repeated_trigram_ratio", F.coalesce(repeats(tx.gram_hashes(F.col("h"), 3))["share"], F.lit(0.0)))
     return rows.select("doc_id", "lang", "text", *[F.col(f).cast("double").alias(f) for f in lex.FEATURES])
 
 
@@ -125,27 +134,39 @@ def perplexity_of(words: int | Column, vocabulary: Column, h: Column, two: Colum
 PPL_WORD = r"[a-zA-Z\x{400}-\x{4FF}']{2,}"
 
 
-def perplexity(docs: DataFrame) -> DataFrame:
-    """``(doc_id, perplexity)`` from repeats and entropy of each text's own n-grams."""
-    rows = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(PPL_WORD), F.lit(0)).alias("w"))
-    g = gram_repeats(rows, "w", "g")
-    got = rows.join(g, "doc_id", "left")
+def word_hashes(c: Column) -> Column:
+    """Hashes of a text's words, in order."""
+    return F.transform(F.regexp_extract_all(F.lower(c), F.lit(PPL_WORD), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def perplexity_from(hashes: Column) -> Column:
+    """The pseudo-perplexity from repeats and entropy of a text's own n-grams; words by hash."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    ppl = perplexity_of(F.size("w"), F.size(F.array_distinct("w")) / F.greatest(F.size("w"), F.lit(1)), zero("gh"), zero("g2"), zero("g3"))
-    return got.select("doc_id", ppl.alias("perplexity"))
+
+    def of(h: Column) -> Column:
+        two, three = repeats(tx.gram_hashes(h, 2)), repeats(tx.gram_hashes(h, 3))
+        variety = F.size(F.array_distinct(h)) / F.greatest(F.size(h), F.lit(1))
+        return tx.let(two, lambda g: tx.let(three["share"], lambda t: perplexity_of(F.size(h), variety, zero(g["entropy"]), zero(g["share"]), zero(t))))
+
+    return tx.let(hashes, of)
+
+
+def perplexity(docs: DataFrame) -> DataFrame:
+    """``(doc_id, perplexity)``."""
+    return docs.select("doc_id", F.coalesce(perplexity_from(word_hashes(F.col("text"))), F.lit(50.0)).alias("perplexity"))
 
 
 def profile(docs: DataFrame, window: int = 3) -> DataFrame:
     """``(doc_id, flatness, periodicity, mean_ppl, n_windows)`` of perplexities over runs of
-    three sentences; of fewer than five sentences the whole text's."""
-    s = docs.select("doc_id", "text", tx.feature_sentences(F.col("text")).alias("s"))
+    three sentences; of fewer than five sentences the whole text's. Words are split once
+    a sentence; a run's are those of its sentences, so a text is read once and stays whole."""
+    rows = tx.pinned(docs.select("doc_id", "text"), s=tx.feature_sentences(F.col("text")))
     n = F.size("s")
-    runs = tx.ngrams(F.col("s"), window)
-    parts = s.select("doc_id", F.posexplode(F.when(n >= window + 2, runs).otherwise(F.array("text"))).alias("i", "text"), (n >= window + 2).alias("long"))
-    key = F.struct("doc_id", "i")
-    ppl = perplexity(parts.select(key.alias("doc_id"), "text"))
-    rows = parts.select(key.alias("doc_id"), "long").join(ppl, "doc_id").groupBy("doc_id.doc_id", "long").agg(F.array_sort(F.collect_list(F.struct("doc_id.i", "perplexity"))).alias("x"))
-    rows = rows.withColumn("p", F.col("x.perplexity")).withColumn("m", mean(F.col("p")))
+    rows = rows.withColumn("long", n >= window + 2)
+    rows = tx.pinned(rows, parts=F.when(F.col("long"), F.transform("s", word_hashes)).otherwise(F.array(word_hashes(F.col("text")))))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("parts") - window, F.lit(0))), lambda i: F.concat(*[F.get("parts", i + j) for j in range(window)]))
+    rows = tx.pinned(rows, runs=F.when(F.col("long"), runs).otherwise(F.col("parts")))
+    rows = tx.pinned(rows, p=F.transform("runs", lambda h: F.coalesce(perplexity_from(h), F.lit(50.0)))).withColumn("m", mean(F.col("p")))
     flat = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - deviation(F.col("p")) / F.col("m")))
     return rows.select(
         "doc_id",

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from provena.functions import text as tx
 from provena.operators.corpus import ranked
+from provena.tables import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, RRF_DENSE = 60, 1.5
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """``(doc_id, term, tf)``."""
-    return docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """``(doc_id, term, tf, dl)``; each document counts its own terms, without a shuffle."""
+    rows = docs.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode(tx.tally(F.col("tokens"))).alias("x"))
+    return rows.select("doc_id", F.col("x.v").alias("term"), F.col("x.n").cast("long").alias("tf"), "dl")
 
 
 def doc_stats(docs: DataFrame) -> DataFrame:
@@ -40,11 +42,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
     ``docs`` holds ``doc_id, tokens``; ``queries`` ``query_id, text``. Only postings of
     query terms are joined. A term repeated in a query counts each time.
     """
-    asked = queries.select("query_id", F.explode(tx.index_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    post, stats = postings(docs), doc_stats(docs)
-    totals = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = term_stats(post, totals.select("n"))
-    hit = post.join(asked.join(terms, "term"), "term").join(stats, "doc_id").crossJoin(F.broadcast(totals.select("avgdl")))
+    post = cut(postings(docs))
+    totals = doc_totals(post)
+    return bm25_over(post, term_stats(post, totals.select("n")), totals, queries, k)
+
+
+def doc_totals(post: DataFrame) -> DataFrame:
+    """One row: the number of documents and their average length, from postings."""
+    each = post.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+    return each.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def bm25_over(post: DataFrame, terms: DataFrame, totals: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
+    """``bm25`` over stored postings, term statistics and totals."""
+    asked = queries.select("query_id", F.explode(tx.tally(tx.index_tokens(F.col("text")))).alias("x")).select("query_id", F.col("x.v").alias("term"), F.col("x.n").alias("qtf"))
+    hit = post.join(asked.join(terms, "term"), "term").crossJoin(F.broadcast(totals.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw")).where("raw > 0.01").withColumn("score", tx.rounded(F.col("raw"), 6)).drop("raw")
     return ranked(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
@@ -59,16 +71,25 @@ def unit(c: str) -> F.Column:
     return tx.let(norm, lambda n: F.when(n > 0, F.transform(c, lambda x: x.cast("double") / n)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, above: float = 0.45, blocks: int = 16) -> DataFrame:
+#: Query vectors that a block holds, and blocks that are broadcast.
+QUERY_BLOCK, QUERY_BLOCKS = 512, 32
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, above: float = 0.45, block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, vec_id, cosine, rank)`` of the exact k nearest above a cosine.
 
-    ``queries`` (``query_id, q``) go in blocks to the vectors, so that the search is
-    spread over both sides whatever their sizes.
+    ``queries`` (``query_id, q``) go to the vectors in blocks, as rows of a block each: up to
+    ``QUERY_BLOCKS`` of them are broadcast, so that vectors stay where they are read;
+    more go one batch after the other. Each vector's task keeps what is above the cosine.
     """
-    q = queries.select("query_id", unit("q").alias("q")).where("q is not null")
+    q = cut(queries.select("query_id", unit("q").alias("q")).where("q is not null").withColumn("block", F.floor(F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)))))
     v = vectors.select("vec_id", unit("embedding").alias("v")).where("v is not null")
-    pairs = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "block")
-    found = pairs.where("query_id != vec_id").select("query_id", "vec_id", tx.rounded(dot("q", "v"), 6).alias("cosine")).where(F.col("cosine") > above)
+    parts = max(1, math.ceil(q.count() / (block * QUERY_BLOCKS)))
+    found = None
+    for i in range(parts):
+        some = q.where(F.pmod("block", F.lit(parts)) == i).select("query_id", "q")
+        got = v.crossJoin(F.broadcast(some)).where("query_id != vec_id").select("query_id", "vec_id", tx.rounded(dot("q", "v"), 6).alias("cosine")).where(F.col("cosine") > above)
+        found = got if found is None else found.unionByName(got)
     return ranked(found, ["query_id"], [F.desc("cosine"), F.asc("vec_id")], k)
 
 

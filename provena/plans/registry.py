@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from provena.tables import spread
+
 
 class Registry:
     """Queries by name, and the SQL of those that have some."""
@@ -22,5 +24,10 @@ class Registry:
         return put
 
 
+#: Tables of texts, vectors and pages, and their keys.
+KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df, KEYS[name]) if name in KEYS else df

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,16 +140,18 @@ def tidy(c) -> F.Column:
 def write_index(docs: DataFrame, path: str) -> None:
     """The ranked index as tables (documents, postings, terms) and a manifest of counts.
 
-    ``docs`` holds ``doc_id, tokens``. The manifest is written last, so that an index
-    without one is incomplete.
+    ``docs`` holds ``doc_id, tokens``. Each call writes a version of its own, and its
+    manifest last: readers keep to the newest version that has one, so that none sees a
+    half-written index.
     """
-    post = retrieval.postings(docs)
-    docs.select("doc_id", F.size("tokens").cast("long").alias("dl")).write.mode("overwrite").parquet(f"{path}/docs")
-    post.write.mode("overwrite").parquet(f"{path}/postings")
     spark = docs.sparkSession
-    post, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs")
-    retrieval.term_stats(post, stats.agg(F.count("*").alias("n"))).write.mode("overwrite").parquet(f"{path}/terms")
-    _sums(post, stats).write.mode("overwrite").json(f"{path}/manifest")
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    home = f"{path}/{version}"
+    retrieval.postings(docs).write.parquet(f"{home}/postings")
+    docs.select("doc_id", F.size("tokens").cast("long").alias("dl")).write.parquet(f"{home}/docs")
+    post, stats = spark.read.parquet(f"{home}/postings"), spark.read.parquet(f"{home}/docs")
+    retrieval.term_stats(post, stats.agg(F.count("*").alias("n"))).write.parquet(f"{home}/terms")
+    _sums(post, stats).write.json(f"{home}/manifest")
 
 
 def _sums(post: DataFrame, stats: DataFrame) -> DataFrame:
@@ -155,11 +160,13 @@ def _sums(post: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """``(docs, postings, terms)``, or None if there is no manifest or it doesn't agree."""
+    """``(docs, postings, terms)`` of the newest version, or None if none has a manifest or it doesn't agree."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/_SUCCESS")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/*/manifest/_SUCCESS")
+    done = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    if not len(done):
         return None
+    path = max(str(x.getPath().getParent().getParent().toString()) for x in done)
     docs, post, terms = (spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "terms"))
     told = spark.read.schema("postings long, check long, docs long, words long").json(f"{path}/manifest").first()
     return (docs, post, terms) if _sums(post, docs).first() == told else None

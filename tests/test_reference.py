@@ -146,7 +146,7 @@ def test_moving_variety(spark):
     words = [f"w{(i * i) % 37}" for i in range(140)]
     want = sum(len(set(words[i : i + 50])) / 50 for i in range(91)) / 91
     df = spark.createDataFrame([(1, words)], "doc_id long, w array<string>")
-    assert features.moving_variety(df).first().mattr == pytest.approx(want)
+    assert df.select(features.moving_variety(F.col("w")).alias("mattr")).first().mattr == pytest.approx(want)
 
 
 def test_detect(spark):
