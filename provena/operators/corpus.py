@@ -79,12 +79,31 @@ def audit_rollup(docs: DataFrame) -> DataFrame:
 # Stores of documents
 
 
-def new_documents(incoming: DataFrame, stored: DataFrame, least: int = LEAST_WORDS, head: int = 200, lower: bool = False, chars: int = 12) -> DataFrame:
+def new_documents(incoming: DataFrame, stored: DataFrame, least: int = LEAST_WORDS, head: int = 200, lower: bool = False, chars: int = 12, scope: tuple[str, ...] = (), trim: bool = False) -> DataFrame:
     """What a store takes of ``incoming``: enough words, and an id, the start of the md5 of
-    the text's first ``head`` characters, that isn't stored; one of each id."""
-    start = F.substring("text", 1, head)
+    the text's first ``head`` characters, that isn't stored; one of each id.
+
+    With ``scope`` (as category and language) an id counts within it only, and ``trim``
+    leaves out white space at the ends first.
+    """
+    text = tx.strip(F.col("text")) if trim else F.col("text")
+    start = F.substring(F.lower(text) if lower and trim else text, 1, head)
+    keys = [*scope, "id"]
     rows = incoming.where(tx.n_words(F.col("text")) >= least).withColumn("id", F.substring(F.md5(F.lower(start) if lower else start), 1, chars))
-    return first_of(rows.join(stored.select("id"), "id", "left_anti"), "id", ["doc_id"])
+    rows = rows.join(stored.select(*keys), keys, "left_anti")
+    firsts = rows.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"))
+    return rows.join(firsts, [*keys, "doc_id"], "left_semi")
+
+
+def human_texts(docs: DataFrame, target: int, least: int = 30) -> DataFrame:
+    """The first ``target`` documents of each language with ``least`` words or more."""
+    return ranked(docs.where(tx.n_words(F.col("text")) >= least), ["lang"], [F.asc("doc_id")], target).drop("rank")
+
+
+def category_label(category: Column, prefix: bool = False) -> Column:
+    """0 (human), 0.5 (mixed) or 1 by what a category's name contains, or how it begins."""
+    has = category.startswith if prefix else category.contains
+    return F.when(has("human"), 0.0).when(has("mixed"), 0.5).otherwise(1.0)
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, replace: bool = True) -> DataFrame:
@@ -94,9 +113,10 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, replace: bool = True)
     return table.unionByName(changes.join(table.select(key), key, "left_anti"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows for training: the label as 0 (human), 0.5 (mixed) or 1, and its name."""
-    kind = F.when(F.col("category").contains("human"), 0.0).when(F.col("category").contains("mixed"), 0.5).otherwise(1.0)
+def training_rows(docs: DataFrame, labels: DataFrame, prefix: bool = False) -> DataFrame:
+    """Rows for training: the label as 0 (human), 0.5 (mixed) or 1, and its name. ``prefix`` says
+    that a category's name must begin with the label's, not only contain it."""
+    kind = category_label(F.col("category"), prefix)
     rows = docs.join(labels, "doc_id").withColumn("label", kind)
     name = F.when(F.col("label") == 0, "human").when(F.col("label") == 0.5, "mixed").otherwise("ai")
     return rows.select("doc_id", "text", "label", name.alias("label_str"), "lang", "category", tx.n_words(F.col("text")).alias("word_count"))

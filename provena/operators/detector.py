@@ -73,6 +73,34 @@ WEIGHTS = {
 }
 
 
+def model_layer(transformer: Column | None = None, trained: Column | None = None) -> Column:
+    """The model layer: 0.6 of the trained classifier's score and 0.4 of the transformer's; one
+    alone counts whole, and 0.5 stands for none. A trained score below 0 means it has none."""
+    if trained is None:
+        return F.lit(0.5) if transformer is None else transformer
+    both = trained if transformer is None else transformer * 0.4 + trained * 0.6
+    return F.when(trained >= 0, both).otherwise(F.lit(0.5) if transformer is None else transformer)
+
+
+def guessed_language(c: Column) -> Column:
+    """ru, uz or en from a text's first 500 characters, for texts that come without a language."""
+    s = F.substring(c, 1, 500)
+    count = lambda p: F.regexp_count(s, F.lit(p))
+    known = F.size(F.array_intersect(F.split(F.regexp_replace(F.lower(s), "[^a-zA-Z']", " "), " +"), tx.strings(lex.DETECTOR_UZ_WORDS)))
+    cyr = count(r"[\x{400}-\x{4FF}]") / F.greatest(count(r"\p{L}"), F.lit(1))
+    return F.when(cyr > 0.30, "ru").when(count("[oOgG]'") >= 2, "uz").when(known >= 2, "uz").otherwise("en")
+
+
+def with_language(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``lang`` guessed where it is null or ``auto``."""
+    return docs.withColumn("lang", F.when(F.coalesce("lang", F.lit("auto")) == "auto", guessed_language(F.col("text"))).otherwise(F.col("lang")))
+
+
+def verdict_label(verdict: Column, lang: Column) -> Column:
+    """A verdict in words of the language, English for those without; null for other verdicts."""
+    return tx.by_lang(lang, {k: F.element_at(F.create_map(*[F.lit(x) for pair in v.items() for x in pair]), verdict) for k, v in lex.VERDICTS.items()})
+
+
 def detect(docs: DataFrame, models: str = "none", model_score: Column | None = None) -> DataFrame:
     """A row for each document: layers, ``confidence``, ``ai_probability`` (0 to 100) and
     ``verdict`` (ai, mixed, human, too_short).
@@ -107,15 +135,42 @@ def detect(docs: DataFrame, models: str = "none", model_score: Column | None = N
     return rows.select("doc_id", "lang", n.cast("long").alias("n_words"), shown("statistical").alias("layer_statistical"), shown("stylometric").alias("layer_stylometric"), shown("perplexity").alias("layer_perplexity"), F.when(few, 0.0).otherwise(F.col("confidence")).alias("confidence"), F.when(few, 0.0).otherwise(p).alias("ai_probability"), F.when(few, "too_short").otherwise(verdict).alias("verdict"))
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos, ai_score, label)`` for each sentence of documents of 30 words or more."""
-    rows = docs.where(tx.n_words(F.col("text")) >= 30).select("doc_id", "lang", F.posexplode(tx.feature_sentences(F.col("text"))).alias("pos", "s"))
+#: Words from which a sentence is scored, and from which the transformer is asked.
+SENTENCE_WORDS, TRANSFORMER_WORDS = 5, 10
+
+
+def blended(h: Column, n: Column, trained: Column | None = None, transformer: Column | None = None) -> Column:
+    """A sentence's score from its marks ``h``, the trained classifier's score of the sentence
+    with its neighbours, and the transformer's (0.5 for fewer than ten words)."""
+    t = None if transformer is None else F.when(n >= TRANSFORMER_WORDS, transformer).otherwise(0.5)
+    alone = h if t is None else t * 0.60 + h * 0.40
+    if trained is None:
+        return alone
+    return F.when(trained >= 0, trained * 0.65 + h * 0.35 if t is None else trained * 0.50 + h * 0.25 + t * 0.25).otherwise(alone)
+
+
+def sentence_contexts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, lang, pos, s, context)`` of each sentence of texts of 30 words or more; the
+    context is the sentence between those before and after it."""
+    rows = tx.pinned(docs.where(tx.n_words(F.col("text")) >= 30).select("doc_id", "lang", "text"), ss=tx.feature_sentences(F.col("text")))
+    both = F.transform("ss", lambda s, i: F.struct(s.alias("s"), F.concat_ws(" ", F.get("ss", i - 1), s, F.get("ss", i + 1)).alias("context")))
+    return rows.select("doc_id", "lang", F.posexplode(both).alias("pos", "x")).select("doc_id", "lang", "pos", "x.s", "x.context")
+
+
+def sentences(docs: DataFrame, trained: Column | None = None, transformer: Column | None = None, most: int | None = None) -> DataFrame:
+    """``(doc_id, pos, ai_score, label)`` for each sentence of documents of 30 words or more.
+
+    ``trained`` and ``transformer`` may be scores computed from ``s``, ``context`` and
+    ``lang``; ``most`` bounds the sentences shown of a document.
+    """
+    rows = sentence_contexts(docs)
     low, n = F.lower("s"), tx.n_words(F.col("s"))
     hits = lambda table: tx.by_lang(F.col("lang"), {k: tx.contained(low, v) for k, v in table.items()})
     raw = (hits(lex.CONNECTORS) * 0.25 + hits(lex.CERTAINTIES) * 0.15 + hits(lex.FORMULAS) * 0.35) / F.greatest(F.lit(1.0), n / 15)
-    score = F.when(n < 5, 0.0).otherwise(_least(raw))
-    label = F.when(score >= 0.65, "ai").when(score >= 0.40, "mixed").otherwise("human")
-    return rows.select("doc_id", "pos", tx.rounded(score, 3).alias("ai_score"), label.alias("label"))
+    score = F.when(n < SENTENCE_WORDS, 0.0).otherwise(blended(_least(raw), n, trained, transformer))
+    label = F.when(n < SENTENCE_WORDS, "human").when(score >= 0.65, "ai").when(score >= 0.40, "mixed").otherwise("human")
+    out = rows.select("doc_id", "pos", tx.rounded(score, 3).alias("ai_score"), label.alias("label"))
+    return out if most is None else out.where(F.col("pos") < most)
 
 
 def sentence_share(docs: DataFrame) -> DataFrame:
