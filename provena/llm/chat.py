@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from functools import partial
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provena.llm.common import free_name
+
 # Control strings of common chat templates; ours are the first two.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<unk>", "<pad>", "<bos>", "<eos>", "<start_of_turn>", "<end_of_turn>")
@@ -77,16 +79,26 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
+def chosen(paths: list[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
+    """The mapping whose fingerprint is that of the paths, else the one with the most paths
+    of those whose paths are all there (the first of equals), else None."""
+    own = fingerprint_of(paths)
+    return next((m for m in mappings if m.fingerprint == own), None) or next((m for m in _by_size(mappings) if set(m.paths) <= set(paths)), None)
+
+
+def _by_size(mappings: tuple[Mapping, ...]) -> list[Mapping]:
+    return sorted(mappings, key=lambda m: -len(set(m.paths)))
+
+
 def canonical(records: DataFrame, id_col: str = "id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``(id, layout, turns)`` of records in one typed layout, which its schema's
-    fingerprint (without the id column) selects.
+    fingerprint (without the id column) selects; more fields than a layout has do no harm.
 
-    An unknown layout raises ValueError; a null array gives null turns. Records of a turn
-    each become one row for each id, as ``turns_of_rows`` has it.
+    An unknown layout raises ValueError; a null array gives null turns, an empty one none.
+    Records of a turn each become one row for each id, as ``turns_of_rows`` has it.
     """
     paths = [p for f in records.schema.fields if f.name != id_col for p in field_paths(f.dataType, f.name)]
-    known = {m.fingerprint: m for m in mappings}
-    m = known.get(fingerprint_of(paths))
+    m = chosen(paths, mappings)
     if m is None:
         raise ValueError(f"no mapping for a layout with the fields {sorted(paths)}")
     turns = F.expr(m.turns).cast(TURNS)
@@ -96,74 +108,78 @@ def canonical(records: DataFrame, id_col: str = "id", mappings: tuple[Mapping, .
     return records.select(F.col(id_col).alias("id"), F.lit(m.name).alias("layout"), turns.alias("turns"))
 
 
-def json_fingerprint(raw: Column) -> Column:
-    """The layout fingerprint of each JSON record: a hash of its schema in Spark's notation,
-    with leaf types left out, as fields that are null or numbers mean the same layout."""
-    shape = F.schema_of_variant(F.try_parse_json(raw))
-    return F.substring(F.sha2(F.regexp_replace(shape, r": (STRING|BIGINT|BOOLEAN|DOUBLE|VOID|DECIMAL\([0-9,]+\))", ""), 256), 1, 16)
-
-
-def _shape_of(m: Mapping) -> str:
-    """Spark's notation of a mapping's layout, leaf types left out."""
-    top: dict[str, list[str]] = {}
-    for p in m.paths:
-        name, _, leaf = p.partition("[].")
-        top.setdefault(name, []).extend([leaf] if leaf else [])
-    return "OBJECT<" + ", ".join(f"{k}: ARRAY<OBJECT<{', '.join(sorted(v))}>>" if v else k for k, v in sorted(top.items())) + ">"
-
-
-def _json_schema(m: Mapping) -> str:
-    top: dict[str, list[str]] = {}
-    for p in m.paths:
-        name, _, leaf = p.partition("[].")
-        top.setdefault(name, []).extend([leaf] if leaf else [])
-    return "struct<" + ",".join(f"`{k}`:array<struct<{','.join(f'`{x}`:string' for x in v)}>>" if v else f"`{k}`:string" for k, v in top.items()) + ">"
+def _fields(mappings: tuple[Mapping, ...]) -> dict[str, list[str]]:
+    """The fields that the mappings read, with those of their objects if they are arrays."""
+    out: dict[str, list[str]] = {}
+    lists: dict[str, bool] = {}
+    for m in mappings:
+        for p in m.paths:
+            name, _, leaf = p.partition("[].")
+            if lists.setdefault(name, bool(leaf)) != bool(leaf):
+                raise ValueError(f"mappings disagree on whether {name} is an array")
+            out.setdefault(name, [])
+            if leaf and leaf not in out[name]:
+                out[name].append(leaf)
+    return out
+
+
+def _prefixed(names: Column, start: str) -> Column:
+    return F.transform(names, lambda k: F.concat(F.lit(start), k))
+
+
+def json_paths(raw: Column, lists: list[str]) -> Column:
+    """The sorted field paths of a JSON record: its fields and, for those of ``lists`` that are
+    arrays of objects, the objects' fields as ``name[].field`` (``name[0]`` if it is empty,
+    ``name[]`` if it holds no fields). Null if it isn't an object."""
+    top = F.json_object_keys(raw)
+    inner = []
+    for name in lists:
+        items = F.from_json(raw, f"struct<`{name}`:array<string>>")[name]
+        keys = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))
+        named = F.when(F.size(keys) > 0, _prefixed(keys, f"{name}[].")).otherwise(F.array(F.when(F.size(items) == 0, f"{name}[0]").otherwise(f"{name}[]")))
+        inner.append(F.when(items.isNotNull(), named).otherwise(F.array().cast("array<string>")))
+    plain = F.filter(top, lambda k: ~k.isin(lists)) if lists else top
+    return F.array_sort(F.array_distinct(F.concat(plain, *inner)))
 
 
 def canonical_json(records: DataFrame, id_col: str = "id", json_col: str = "raw", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``(id, layout, fingerprint, turns)`` of JSON records whose layouts differ by row.
 
-    Each row's own fingerprint selects its mapping; a row that no mapping knows, that is
-    null or isn't JSON has null layout and turns. Rows of a turn each become one row for
-    each id; places that aren't numbers come first.
+    Each row's own fingerprint, the hash of its field paths as ``canonical`` has it, selects
+    its mapping, else its paths do, as in ``chosen``; a record whose arrays are empty
+    belongs to a layout with them and has no turns. A row that no mapping knows, that is
+    null or isn't JSON has null layout and turns; its fingerprint tells which layout it
+    is. Rows of a turn each become one row for each id; places that aren't numbers come
+    first. The mappings' SQL is that of typed records, and runs over the record's fields
+    as columns, whatever the names of the other columns.
     """
-    rows = records.select(F.col(id_col).alias("id"), F.col(json_col).alias("raw"), json_fingerprint(F.col(json_col)).alias("fingerprint"))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    fields = _fields(mappings)
+    lists = [k for k, v in fields.items() if v]
+    i, j, p, fp, lay = (free_name(list(fields), x) for x in ("id", "raw", "paths", "fingerprint", "layout"))
+    rows = records.select(F.col(id_col).alias(i), F.col(json_col).alias(j))
+    rows = rows.withColumn(p, json_paths(F.col(j), lists)).withColumn(fp, F.substring(F.sha2(F.array_join(p, "\n").cast("binary"), 256), 1, 16))
+    named = F.create_map(*[F.lit(x) for m in mappings for x in (m.fingerprint, m.name)])
+    layout = F.lit(None).cast("string")
+    for m in reversed(_by_size(mappings)):
+        has = [F.array_contains(p, x) | (F.array_contains(p, x.partition("[].")[0] + "[0]") if "[]." in x else F.lit(False)) for x in m.paths]
+        layout = F.when(reduce(Column.__and__, has), m.name).otherwise(layout)
+    shape = ",".join(f"`{k}`:array<struct<{','.join(f'`{x}`:string' for x in v)}>>" if v else f"`{k}`:string" for k, v in fields.items())
+    parsed = free_name([*fields, i, j, p, fp, lay], "parsed")
+    rows = rows.withColumn(lay, F.coalesce(F.element_at(named, F.col(fp)), layout)).withColumn(parsed, F.from_json(j, f"struct<{shape}>"))
+    rows = rows.select(i, lay, fp, f"{parsed}.*")
+    turns, at = F.lit(None).cast(TURNS), F.lit(None).cast("decimal(38,9)")
     for m in mappings:
-        mine = F.col("fingerprint") == hashlib.sha256(_shape_of(m).encode()).hexdigest()[:16]
-        # the record's fields become columns of a one-row lambda, so that mappings stay the same SQL
-        fields = F.transform(F.array(F.from_json("raw", _json_schema(m))), partial(_applied, m))
-        layout, turns = F.when(mine, m.name).otherwise(layout), F.when(mine, fields[0].cast(TURNS)).otherwise(turns)
+        turns = F.when(F.col(lay) == m.name, F.expr(m.turns).cast(TURNS)).otherwise(turns)
+        if m.at:
+            at = F.when(F.col(lay) == m.name, F.col(m.at).try_cast("decimal(38,9)")).otherwise(at)
     names = ["id", "layout", "fingerprint"]
-    whole = rows.select("id", layout.alias("layout"), "fingerprint", turns.alias("turns"), "raw")
-    apart = {m.name: m.at for m in mappings if m.at}
-    if not apart:
-        return whole.select(*names, "turns")
-    single = F.coalesce(F.col("layout").isin(list(apart)), F.lit(False))
-    at = F.coalesce(*[F.when(F.col("layout") == k, F.get_json_object("raw", f"$.{v}").try_cast("decimal(38,9)")) for k, v in apart.items()])
-    one = whole.where(single).select(*names, at.alias("at"), F.col("turns")[0]["role"].alias("role"), F.col("turns")[0]["text"].alias("text"))
+    whole = rows.select(F.col(i).alias("id"), F.col(lay).alias("layout"), F.col(fp).alias("fingerprint"), turns.alias("turns"), at.alias("at"))
+    apart = [m.name for m in mappings if m.at]
+    single = F.coalesce(F.col("layout").isin(apart), F.lit(False)) if apart else F.lit(False)
+    one = whole.where(single).select(*names, "at", F.col("turns")[0]["role"].alias("role"), F.col("turns")[0]["text"].alias("text"))
     return whole.where(~single).select(*names, "turns").unionByName(_gathered(one, names))
 
 
-def _applied(m: Mapping, r: Column) -> Column:
-    role = lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for v in ("human", "user", "gpt", "assistant", "bot", "assistant", "model", "assistant")]), F.lower(x)), x, F.lit(""))
-    text = lambda x: F.coalesce(x, F.lit(""))
-    turn = lambda who, what: F.struct(who.alias("role"), what.alias("text"))
-    lists = [p.partition("[].") for p in m.paths if "[]." in p]
-    if lists:
-        name = lists[0][0]
-        who, what = ("from", "value") if any(x[2] == "from" for x in lists) else ("role", "content")
-        return F.transform(r[name], lambda t: turn(role(t[who]), text(t[what])))
-    if m.at:
-        return F.array(turn(text(r["role"]), text(r["text"])))
-    ask = next(p for p in ("instruction", "prompt", "question") if p in m.paths)
-    say = next(p for p in m.paths if p not in (ask, "input"))
-    asked = text(r[ask])
-    if "input" in m.paths:
-        asked = F.when(text(r["input"]) == "", asked).otherwise(F.concat(asked, F.lit("\n"), r["input"]))
-    return F.array(turn(F.lit("user"), asked), turn(F.lit("assistant"), text(r[say])))
-
-
 def turns_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``(id, turns)`` of rows that hold a turn each, in the order of ``turn_col`` (nulls
     first), ties by role and text; null texts and roles are empty. Rows with a null id
@@ -207,16 +223,17 @@ def format_turns(conversations: DataFrame, turns_col: str = "turns", trained_rol
     trained turn's escaped text). Null turns count as none and give an empty string."""
     names = [c for c in conversations.columns if c not in ("formatted", "loss_spans")]
     safe = F.transform(F.coalesce(F.col(turns_col), F.array().cast(TURNS)), lambda t: F.struct(_escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == trained_role).alias("own")))
-    held = conversations.select(*names, safe.alias("_safe"))
+    own = free_name([*names, "formatted", "loss_spans"], "safe")
+    held = conversations.select(*names, safe.alias(own))
     # from the roles' and texts' lengths each text's place follows by a running sum
     head = lambda t: F.length(t["role"]) + len(OPEN) + 1
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     walked = F.aggregate(
-        "_safe", start,
+        own, start,
         lambda s, t: F.struct((s["at"] + head(t) + F.length(t["text"]) + len(CLOSE) + 1).alias("at"), F.when(t["own"], F.array_append(s["spans"], F.struct((s["at"] + head(t)).alias("start"), F.length(t["text"]).alias("length")))).otherwise(s["spans"]).alias("spans")),
         lambda s: s["spans"],
     )
-    text = F.array_join(F.transform("_safe", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE), F.lit("\n"))), "")
+    text = F.array_join(F.transform(own, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE), F.lit("\n"))), "")
     return held.select(*names, text.alias("formatted"), walked.alias("loss_spans"))
 
 

@@ -10,22 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm import chat, langid, linededup, minhash, mixing, pieces, pivots, quality, simhash, tokencounts
-from provena.llm.common import bucket_of, cut, shared_dir
+from provena.llm.common import bucket_of, cut, held, shared_dir, small, spent, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     out = F.pmod(bucket_of("doc_id"), F.lit(4)) == 2
     model = langid.fit(docs, ~out)
     return langid.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -34,12 +38,12 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     return linededup.dedup_lines(docs, report=True)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(_table(spark, sf_dir, "documents"))
+    return pieces.encode(_documents(spark, sf_dir))
 
 
 #: A conversation whose texts are control strings of a common template.
@@ -67,7 +71,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     out = F.pmod(bucket_of("doc_id"), F.lit(5)) == 0
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), ~out)
     scored = quality.score(docs, model)
@@ -75,26 +79,48 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(_documents(spark, sf_dir))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("reps")).alias("taken"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts all documents under two tokenizers, replays that batch, and deletes exact copies."""
-    docs = _table(spark, sf_dir, "documents")
-    counts = cut(tokencounts.token_counts(docs).unionByName(tokencounts.word_counts(docs)))
+    """Totals under two tokenizers after each of three batches over all documents.
+
+    ``loaded`` inserts every row, and is replayed; ``revised`` carries the counts of the
+    texts without white space at their ends; ``distinct`` deletes exact copies of a
+    revised text but the one with the smallest id.
+    """
+    docs = _documents(spark, sf_dir)
+    counted = lambda d: cut(tokencounts.token_counts(d).unionByName(tokencounts.word_counts(d)))
+    trimmed = F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    counts = counted(docs)
+    # only texts that the revision changes are counted anew
+    edited = docs.where(trimmed != F.col("text"))
+    new = counted(edited.withColumn("text", trimmed))
+    gone = cut(edited.select(F.md5(F.col("text").cast("binary")).alias("digest")).distinct())
+    kept = counts.join(small(gone), "digest", "left_semi")
     rollup = tokencounts.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    for _ in range(2):
-        rollup.apply("load", tokencounts.inserts(counts))
-    first = counts.groupBy("tokenizer", "digest").agg(F.min("id").alias("first"))
-    copies = counts.join(first, ["tokenizer", "digest"]).where("id != first")
-    rollup.apply("exact-copies", tokencounts.deletes(copies))
+    states = []
+
+    def commit(name: str, signed: DataFrame) -> None:
+        rollup.apply(name, signed)
+        states.append(held(rollup.totals()).withColumn("state", F.lit(name)))
+
+    commit("loaded", tokencounts.inserts(counts))
+    rollup.apply("loaded", tokencounts.inserts(counts))
+    commit("revised", tokencounts.changes(kept, new))
+    now = counts.join(small(gone), "digest", "left_anti").unionByName(new)
+    first = now.groupBy("tokenizer", "digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = now.join(first, ["tokenizer", "digest"]).where("id != first")
     rollup.compact()
-    return rollup.totals()
+    commit("distinct", tokencounts.deletes(copies))
+    rollup.drop()
+    spent(counts, new, gone)
+    return reduce(DataFrame.unionByName, states).select("state", *tokencounts.KEYS, "docs", "tokens")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.with_edited(_table(spark, sf_dir, "documents"))
+    return minhash.with_edited(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

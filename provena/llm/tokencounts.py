@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
 def token_counts(docs: DataFrame, path: str = RANKS, version: str = VERSION, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """``(id, source, lang, tokenizer, tokens, digest)`` of whole texts; null texts have none.
 
-    digest is the md5 of the text, by which later changes of a document show.
+    digest is the md5 of the text, by which later changes of a document show. Rows pass
+    as they are, repeated ones included.
     """
     out = pa.schema([("id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("digest", pa.string()), ("tokens", pa.int64())])
 
@@ -59,86 +61,110 @@ def deletes(counts: DataFrame) -> DataFrame:
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Signed changes between two states of the counts, matched by id and tokenizer.
+    """Signed changes between two states of the counts.
 
     What only one state has is inserted or deleted; a revised count, or a document that
-    moved to another source or language, is both. Ids are unique in a state.
+    moved to another source or language, is both. Rows are compared by id, keys and count
+    as often as they stand, so repeated ids and rows, and null ids, need no care.
     """
-    o, n = old.alias("o"), new.alias("n")
-    on = F.col("o.id").eqNullSafe(F.col("n.id")) & (F.col("o.tokenizer") == F.col("n.tokenizer"))
-    side = lambda s, sign: F.struct(*[F.col(f"{s}.{k}").alias(k) for k in KEYS], F.lit(sign).cast("long").alias("docs"), (F.col(f"{s}.tokens") * sign).alias("tokens"))
-    same = F.col("o.source").eqNullSafe(F.col("n.source")) & F.col("o.lang").eqNullSafe(F.col("n.lang")) & (F.col("o.tokens") == F.col("n.tokens"))
-    both = o.join(n, on, "full").where(~F.coalesce(same & F.col("o.tokenizer").isNotNull() & F.col("n.tokenizer").isNotNull(), F.lit(False)))
-    pair = both.select(F.explode(F.filter(F.array(F.when(F.col("o.tokenizer").isNotNull(), side("o", -1)), F.when(F.col("n.tokenizer").isNotNull(), side("n", 1))), lambda x: x.isNotNull())).alias("x"))
-    return pair.select("x.*")
+    rows = old.select("id", *KEYS, "tokens", F.lit(-1).alias("sign")).unionByName(new.select("id", *KEYS, "tokens", F.lit(1).alias("sign")))
+    net = rows.groupBy("id", *KEYS, "tokens").agg(F.sum("sign").alias("docs")).where("docs != 0")
+    return net.select(*KEYS, "docs", (F.col("tokens") * F.col("docs")).alias("tokens"))
 
 
 class TokenRollup:
     """Totals by source, language and tokenizer version under a folder that all share.
 
     A batch of signed changes is summed before it is written, so a batch is as small as
-    the totals. It is written aside and then renamed to its id: the rename is the commit,
-    happens once, and a batch whose id is there already is left out. A task that is lost
-    is run again by Spark, and a driver that is lost runs the batch again under the same
-    id; neither counts twice. Totals are the sum over all batches, or over the last
-    compaction and the batches it has not taken up.
+    the totals. Its rows are written to a folder of their own; the commit is a file with
+    the batch's name, which tells that folder and which a file system creates once only:
+    of two drivers with the same batch one commits, and rows without such a file are never
+    read. A task that is lost is run again by Spark, and a driver that is lost runs the
+    batch again under the same name; neither counts twice. Totals are the sum over all
+    open batches, or over the last compaction and the batches it has not taken up.
     """
 
     def __init__(self, spark: SparkSession, home: str) -> None:
         self.spark, self.home = spark, home.rstrip("/")
         jvm = spark.sparkContext._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.home}/{p}")
+        self._fs = jvm.org.apache.hadoop.fs.Path(self.home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _names(self, kind: str) -> list[str]:
-        at = self._path(f"{self.home}/{kind}")
-        if not self._fs.exists(at):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at))
+        at = self._path(kind)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _told(self, kind: str, name: str) -> str:
+        """The folder that a file tells."""
+        stream = self._fs.open(self._path(f"{kind}/{name}"))
+        try:
+            return stream.readUTF()
+        finally:
+            stream.close()
+
+    def _mark(self, kind: str, name: str, folder: str) -> bool:
+        """Creates the file ``name`` that tells ``folder``; False if there is one."""
+        self._fs.mkdirs(self._path(kind))
+        try:
+            stream = self._fs.create(self._path(f"{kind}/{name}"), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName() or self._fs.exists(self._path(f"{kind}/{name}")):
+                return False
+            raise
+        stream.writeUTF(folder)
+        stream.close()
+        return True
 
     def _commit(self, rows: DataFrame, kind: str, name: str) -> bool:
-        if not re.fullmatch(r"[\w.-]+", name):
-            raise ValueError(f"{name!r} can't name a batch: letters, digits, _ . - only")
-        aim = self._path(f"{self.home}/{kind}/{name}")
-        if self._fs.exists(aim):
-            return False
-        aside = f"{self.home}/aside/{uuid.uuid4().hex}"
-        rows.write.parquet(aside)
-        self._fs.mkdirs(self._path(f"{self.home}/{kind}"))
-        done = not self._fs.exists(aim) and self._fs.rename(self._path(aside), aim)
+        folder = f"rows/{uuid.uuid4().hex}"
+        rows.coalesce(1).write.parquet(f"{self.home}/{folder}")
+        done = self._mark(kind, name, folder)
         if not done:
-            self._fs.delete(self._path(aside), True)
-        return bool(done)
+            self._fs.delete(self._path(folder), True)
+        return done
 
     def apply(self, batch: str, signed: DataFrame) -> bool:
-        """Commits a batch of signed changes; False if its id was committed before."""
-        if batch in self._covered() or batch in self._names("batches"):
+        """Commits a batch of signed changes; False if its name was committed before."""
+        if not re.fullmatch(r"[\w.-]+", batch):
+            raise ValueError(f"{batch!r} can't name a batch: letters, digits, _ . - only")
+        if any(self._fs.exists(self._path(f"{kind}/{batch}")) for kind in ("done", "open")):
             return False
         summed = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return self._commit(summed.select(*KEYS, F.col("docs").cast("long"), F.col("tokens").cast("long")).coalesce(1), "batches", batch)
+        return self._commit(summed.select(*KEYS, F.col("docs").cast("long"), F.col("tokens").cast("long")), "open", batch)
 
-    def _covered(self) -> set[str]:
-        """Batches that the last compaction holds."""
-        bases = self._names("bases")
-        if not bases:
-            return set()
-        return {r[0] for r in self.spark.read.parquet(f"{self.home}/bases/{bases[-1]}").where("batch is not null").select("batch").collect()}
+    def _base(self) -> DataFrame | None:
+        """The last compaction: totals, and the names of the batches that were open then."""
+        names = self._names("bases")
+        return self.spark.read.schema(f"{SCHEMA}, batch string").parquet(f"{self.home}/{self._told('bases', names[-1])}") if names else None
 
     def totals(self) -> DataFrame:
         """``(source, lang, tokenizer, docs, tokens)``, without rows in which nothing is left."""
-        bases, covered = self._names("bases"), self._covered()
-        parts = [self.spark.read.schema(SCHEMA).parquet(f"{self.home}/batches/{b}") for b in self._names("batches") if b not in covered]
-        if bases:
-            parts.append(self.spark.read.parquet(f"{self.home}/bases/{bases[-1]}").where("batch is null").drop("batch"))
-        rows = self.spark.createDataFrame([], SCHEMA)
-        for p in parts:
-            rows = rows.unionByName(p)
+        base = self._base()
+        taken = set() if base is None else {r[0] for r in base.where("batch is not null").select("batch").collect()}
+        folders = [f"{self.home}/{self._told('open', b)}" for b in self._names("open") if b not in taken]
+        rows = self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
+        if base is not None:
+            rows = rows.unionByName(base.where("batch is null").drop("batch"))
         summed = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return summed.where("docs != 0 or tokens != 0")
 
     def compact(self) -> None:
-        """Sums all batches into one base; reading then takes the base and later batches."""
-        taken = self._covered() | set(self._names("batches"))
-        names = self.spark.createDataFrame([(b,) for b in sorted(taken)], "batch string")
-        rows = self.totals().withColumn("batch", F.lit(None).cast("string"))
-        self._commit(rows.unionByName(names, allowMissingColumns=True).coalesce(1), "bases", f"{len(self._names('bases')):08d}")
+        """Sums all open batches into one base; reading then takes the base and later batches.
+
+        The base has the names of the batches it holds, and each of them is then moved from
+        the open to the done; if the driver is lost in between, both places tell that it
+        was committed, and the base that it is in the totals. Only open batches are listed.
+        """
+        names = self._names("open")
+        listed = self.spark.createDataFrame([(b,) for b in names], "batch string")
+        rows = self.totals().withColumn("batch", F.lit(None).cast("string")).unionByName(listed, allowMissingColumns=True)
+        if self._commit(rows, "bases", f"{len(self._names('bases')):08d}"):
+            for b in names:
+                folder = self._told("open", b)
+                self._mark("done", b, folder)
+                self._fs.delete(self._path(f"open/{b}"), False)
+                self._fs.delete(self._path(folder), True)
+
+    def drop(self) -> None:
+        """Deletes the whole rollup."""
+        self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.home), True)

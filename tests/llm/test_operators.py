@@ -462,6 +462,29 @@ def test_chat_layouts(spark):
     assert all(got[i].layout is None and got[i].turns is None for i in (6, 7, 8))
 
 
+def test_chat_more_than_a_layout(spark):
+    """Fields beside a layout's, empty arrays, own mappings, and clashing names."""
+    raw = ['{"messages":[]}', '{"messages":[{"role":"user","content":"q","weight":1},{"role":"gpt","content":null}],"id":7}', '{"id":1,"prompt":"q","response":"a","layout":"x","raw":{"b":1}}', '{"say":"q","fingerprint":"f"}', '{"messages":["q"]}', "[]", '{"prompt":"q","response":"a","completion":"c"}']
+    rows = spark.createDataFrame(list(enumerate(raw)), "id long, raw string")
+    own = (*chat.MAPPINGS, chat.Mapping("said", ("say",), "array(named_struct('role', 'user', 'text', coalesce(say, '')))"))
+    got = {r.id: r for r in chat.canonical_json(rows, mappings=own).collect()}
+    turns = lambda i: None if got[i].turns is None else [(t.role, t.text) for t in got[i].turns]
+    assert [got[i].layout for i in range(7)] == ["messages", "messages", "prompt and response", "said", None, None, "completion"]
+    assert turns(0) == [] and turns(1) == [("user", "q"), ("assistant", "")] and turns(2) == [("user", "q"), ("assistant", "a")] and turns(3) == [("user", "q")] and turns(4) is None
+    assert got[2].fingerprint == chat.fingerprint_of(["id", "prompt", "response", "layout", "raw"]) and len({r.fingerprint for r in got.values()}) == 7
+    typed = spark.createDataFrame([(1, [("user", "q", 1.0)], "z")], "id long, messages array<struct<role:string,content:string,weight:double>>, other string")
+    (r,) = chat.canonical(typed).collect()
+    assert r.layout == "messages" and [(t.role, t.text) for t in r.turns] == [("user", "q")]
+    with pytest.raises(ValueError, match="disagree"):
+        chat.canonical_json(rows, mappings=(*chat.MAPPINGS, chat.Mapping("odd", ("messages",), "array()")))
+    named = spark.createDataFrame([(1, [("user", "q")], 2, 3)], "id long, turns array<struct<role:string,text:string>>, safe int, _safe int")
+    (r,) = chat.format_turns(named).collect()
+    assert (r.safe, r._safe) == (2, 3) and r.formatted == f"{chat.OPEN}user\nq{chat.CLOSE}\n"
+    twice = spark.createDataFrame([(1, 0, "user", "q"), (1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    (r,) = chat.canonical(twice, "conv_id").collect()
+    assert len(r.turns) == 2
+
+
 def test_chat_rows_by_turn(spark, tmp_path):
     rows = [(1, 10, "assistant", "c"), (1, 2, "user", "b"), (1, None, None, "a"), (2, 0, "user", None), (None, 0, "human", "n")]
     want = {1: [("", "a"), ("user", "b"), ("assistant", "c")], 2: [("user", "")], None: [("human", "n")]}
@@ -474,7 +497,7 @@ def test_chat_rows_by_turn(spark, tmp_path):
     assert len(got) == 6 and sum(r.layout == "question" for r in got) == 2
     assert {r.id: [(t.role, t.text) for t in r.turns] for r in got if r.layout == "rows by turn"} == want
     # the query asks the fingerprint: a table of a layout that no mapping has is refused
-    df.withColumn("more", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
+    df.withColumnRenamed("turn", "place").write.parquet(f"{tmp_path}/conversations.parquet")
     with pytest.raises(ValueError, match="no mapping"):
         queries.op6_chat_formatting(spark, str(tmp_path))
 
@@ -501,6 +524,45 @@ def test_quality_held_out(spark):
     assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
 
 
+def test_quality_matches_brute_force(spark):
+    """Every score anew from the model's dictionaries, piece by piece, and the fit's calibration."""
+    import zstandard
+
+    rng = random.Random(12)
+    good = [text_of(rng, rng.randint(20, 200)) for _ in range(80)]
+    bad = ["buy now " * rng.randint(3, 60) + text_of(rng, 3) for _ in range(80)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(good + bad + ["", None, "x"])]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(160)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True))
+    tools = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=quality.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.bad, model.good)]
+
+    def size(tool, data):
+        return sum(len(tool.compress(data[i : i + quality.PIECE])) for i in range(0, len(data), quality.PIECE))
+
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, t, *_ in rows:
+        data = (t or "").encode()
+        x = (size(tools[0], data) - size(tools[1], data)) / len(data) if data else None
+        want = model.empty if x is None else 1 / (1 + math.exp(-max(-30, min(30, model.slope * x + model.offset))))
+        assert got[i] == pytest.approx(want)
+    # the curve is where the weighted likelihood of the labels is largest
+    held = [(i, float(i < 80)) for i in range(160)]
+
+    def loss(slope, offset):
+        total = 0.0
+        for i, y in held:
+            data = rows[i][1].encode()
+            z = slope * (size(tools[0], data) - size(tools[1], data)) / len(data) + offset
+            total += math.log1p(math.exp(-z)) if y else math.log1p(math.exp(z))
+        return total
+
+    assert loss(model.slope, model.offset) < min(loss(0.0, 0.0), loss(model.slope / 20, model.offset), loss(-model.slope, model.offset))
+    assert min(got[i] for i in range(80)) > max(got[i] for i in range(80, 160))
+    twice = quality.fit(docs.union(docs.limit(5)), labels.union(labels.limit(5)), F.lit(True))
+    assert 0 <= quality.QualityScorer(twice)("x") <= 1
+
+
 # Mixing
 
 
@@ -582,6 +644,42 @@ def test_rollup(spark, tmp_path):
     assert tokencounts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_token_totals_match_brute_force(spark, tmp_path):
+    """The query's three states against tiktoken and dictionaries."""
+    import base64
+
+    import tiktoken
+
+    with open(tokencounts.RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("t", pat_str=tokencounts.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    rng = random.Random(4)
+    texts = [text_of(rng, rng.randint(0, 40)) + rng.choice(["", " ", "\n\t "]) for _ in range(40)] + ["", None, "  ", "same", "same ", "same"]
+    rows = [(i if i != 7 else None, t, rng.choice(["en", None]), rng.choice(["a", "b", None]), 0) for i, t in enumerate(texts)] + [(3, texts[3], "en", "a", 0)] * 2
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    count = {tokencounts.VERSION: lambda t: len(encode(t)), "words/1": lambda t: len(t.split())}
+
+    def totals(docs):
+        out = {}
+        for _, t, lang, source, _ in docs:
+            for name, n in count.items():
+                d, k = out.get((source, lang, name), (0, 0))
+                out[(source, lang, name)] = (d + 1, k + n(t or ""))
+        return out
+
+    trimmed = [(i, t and t.strip(" \t\n\r\x0b\x0c"), *x) for i, t, *x in rows]
+    least = {}
+    for i, t, *_ in trimmed:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    distinct = [r for r in trimmed if r[0] is None or r[0] == least[r[1] or ""]]
+    want = {"loaded": totals(rows), "revised": totals(trimmed), "distinct": totals(distinct)}
+    got = {}
+    for r in queries.op9_token_counts(spark, str(tmp_path)).collect():
+        got.setdefault(r.state, {})[(r.source, r.lang, r.tokenizer)] = (r.docs, r.tokens)
+    assert got == want
+
+
 # Fingerprints
 
 
