@@ -187,6 +187,29 @@ def test_pivots_recall_near_the_bound(spark):
     assert links > 300 and 0.9 * links <= got <= links
 
 
+def test_pivots_widths_copies_and_recall_with_many_pivots(spark):
+    """Two lengths of vectors, repeated ids, clashing names; recall at the bound with as many
+    pivots as a table of a million vectors has."""
+    rng = np.random.default_rng(5)
+    short, long = rng.normal(size=(2, 8)), rng.normal(size=(30, 16))
+    short[1] = short[0] + 0.01
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(long)] + [(100, [float(v) for v in short[0]]), (101, [float(v) for v in short[1]]), (102, [float(v) for v in short[1]]), (102, [float(v) for v in short[1]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("v", "n", "rep", "key", "kept", "list", "node")})
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in pivots.near_duplicates(df).collect() if r.vec_id >= 100)
+    assert got == [(100, 3, 100), (101, 3, 100), (102, 3, 100), (102, 3, 100)]
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = rng.normal(size=(2048, 64))
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    for c in (0.90, 0.92):
+        z = rng.normal(size=x.shape)
+        z -= (z * x).sum(1, keepdims=True) * x
+        y = c * x + np.sqrt(1 - c * c) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        k = pivots.nearest_of(len(p))
+        a, b = (np.argsort(-(v @ p.T), axis=1)[:, :k] for v in (x, y))
+        assert np.mean((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= pivots.SHARED) > 0.95
+
+
 # Lines
 
 
