@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import mix64
+from provena.llm.common import cut, mix64, share, spent
 
 #: Words of a shingle, bins, and bits kept of each bin's least hash.
 SHINGLE, BINS, BITS = 5, 256, 4
+#: Characters of a range of documents that one task edits.
+RANGE = 64_000_000
 _PAIRS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 _ORDERS: dict[int, np.ndarray] = {}
 
@@ -108,26 +111,38 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``(part, id, tail, text)`` such that within a partition, sorted, the row after each
     is the next document; rows marked ``tail`` only stand after the last of a part.
 
-    Ids are cut into as many ranges as the session shuffles to, by quantiles of the ids
-    alone. Each range's texts go to one task in one shuffle, with a copy of the next
-    range's first document; its id is all that the driver sees. Null ids come last, and
-    after the last document the first follows again.
+    Ids are cut into ranges of about equal numbers of characters, by quantiles of a sample
+    in which a document stands by its length: ranges of ``RANGE`` characters, and as many as
+    the session shuffles to at least. Each range's texts go to one task in one shuffle,
+    with a copy of the next range's first document; a range's first id is all that the
+    driver sees of it. Null ids come last, and after the last document the first follows
+    again.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    cuts = ids.where("id is not null").select(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
-    part = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(part).cast("int")
-    firsts = sorted((r[0], r[1]) for r in ids.select("id", part.alias("part")).groupBy("part").agg(F.min("id")).collect())
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("part", part)
+    ids = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("w")))
+    total = ids.agg(F.sum(F.col("w") + 1)).first()[0] or 1
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / RANGE))
+    known = ids.where("id is not null").where(share(53, "id") < (F.col("w") + 1) * F.lit(200 * parts / total))
+    cuts = known.select(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
+    cuts = np.array(sorted(set(cuts)), np.int64)
+
+    def placed(ids_: pa.Array) -> np.ndarray:
+        part = np.searchsorted(cuts, ids_.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        return np.where(ids_.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, part).astype(np.int32)
+
+    number = F.arrow_udf(lambda x: pa.array(placed(x)), "int")
+    firsts = sorted((r[0], r[1]) for r in ids.select("id", number("id").alias("part")).groupBy("part").agg(F.min("id")).collect())
+    spent(ids)
     # the part before, for the first id of each part
     before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
-    known = [(i, p) for i, p in before.items() if i is not None]
-    tail = F.element_at(F.create_map(*[F.lit(x) for i, p in known for x in (i, p)]), F.col("id")) if known else F.lit(None).cast("int")
-    if None in before:
-        tail = F.when(F.col("id").isNull(), F.lit(before[None])).otherwise(tail)
+
+    def ends(x: pa.Array) -> pa.Array:
+        own = x.to_pylist()
+        return pa.array([before.get(i) for i in own], pa.int32())
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("part", number("id")).withColumn("end", F.arrow_udf(ends, "int")("id"))
+    tail = F.col("end")
     spread = rows.withColumn("x", F.explode(F.when(tail.isNull(), F.array(F.struct("part", F.lit(False).alias("tail")))).otherwise(F.array(F.struct("part", F.lit(False).alias("tail")), F.struct(tail.alias("part"), F.lit(True).alias("tail"))))))
     spread = spread.select("x.part", F.col("id").isNull().alias("last"), "id", "x.tail", "text")
     return spread.repartition(parts, "part").sortWithinPartitions("part", "tail", "last", "id", F.xxhash64("text"))
