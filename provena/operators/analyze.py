@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provena.functions import text as tx
 from provena.operators import corpus, detector, retrieval
 from provena.operators import similarity as sim
-from provena.tables import cut
+from provena.tables import cut, held, spent
 
 #: Characters that a request must and may have, and words under which a text isn't analysed.
 LEAST_CHARS, MOST_CHARS, LEAST_WORDS = 20, 200_000, 5
@@ -68,11 +68,14 @@ def analyze(subs: DataFrame, docs: DataFrame, only: DataFrame | None = None, sem
     out = out.na.fill(0, list(zero)).na.fill(False, ["is_plagiarism", "translation_found", "paraphrase_found"])
     said, level, risk = sim.risks(F.col("overall"), F.col("ai_probability"), F.col("hidden.is_manipulated"), F.col("paraphrase_found"), F.col("translation_found"), F.col("is_plagiarism"))
     ok = F.col("error").isNull()
-    return out.select(
+    shown = out.select(
         "sub_id", "error", F.col("lang").alias("language"), "overall", "lexical", "semantic", "aggregate", "threshold", "is_plagiarism", "n_matches", "best_doc",
         "matched_sents", "total_sents", "ai_probability", "ai_verdict", F.col("hidden.manipulation_score").alias("manipulation_score"),
         F.when(ok, F.array_join(said, ", ")).otherwise("").alias("risks"), F.when(ok, level).alias("level"), F.when(ok, risk).alias("risk"),
     )
+    done = held(shown)
+    spent(rows, only)
+    return done
 
 
 def report(analysis: DataFrame, matches: DataFrame, highlights: DataFrame, subs: DataFrame) -> DataFrame:

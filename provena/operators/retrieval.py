@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import text as tx
 from provena.operators.corpus import ranked
-from provena.tables import cut
+from provena.tables import cut, held, spent
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, RRF_DENSE = 60, 1.5
@@ -44,7 +44,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
     """
     post = cut(postings(docs))
     totals = doc_totals(post)
-    return bm25_over(post, term_stats(post, totals.select("n")), totals, queries, k)
+    out = held(bm25_over(post, term_stats(post, totals.select("n")), totals, queries, k))
+    spent(post)
+    return out
 
 
 def doc_totals(post: DataFrame) -> DataFrame:
@@ -90,7 +92,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, above: float =
         some = q.where(F.pmod("block", F.lit(parts)) == i).select("query_id", "q")
         got = v.crossJoin(F.broadcast(some)).where("query_id != vec_id").select("query_id", "vec_id", tx.rounded(dot("q", "v"), 6).alias("cosine")).where(F.col("cosine") > above)
         found = got if found is None else found.unionByName(got)
-    return ranked(found, ["query_id"], [F.desc("cosine"), F.asc("vec_id")], k)
+    out = held(ranked(found, ["query_id"], [F.desc("cosine"), F.asc("vec_id")], k))
+    spent(q)
+    return out
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, k: int = 20) -> DataFrame:

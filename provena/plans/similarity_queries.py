@@ -9,7 +9,7 @@ from provena.functions import text as tx
 from provena.operators import similarity as sim
 from provena.plans import sql
 from provena.plans.registry import Registry, table
-from provena.tables import cut, small
+from provena.tables import small
 
 r = Registry()
 R = sql.rounded
@@ -139,7 +139,7 @@ tf as (select wp.*, coalesce({R(f'ab / (sqrt((na - aa) * {ONCE} + aa) * sqrt((nb
 
 @r.query(f"with {TFIDF} select sub_id, doc_id, {R('tfidf', 2)} as tfidf from tf")
 def tfidf_pair_cosine(spark, d):
-    a, b = map(cut, _both(spark, d))
+    a, b = _both(spark, d)
     return sim.tfidf_pairs(sim.winnow_pairs(a, b), a, b).select("sub_id", "doc_id", tx.rounded(F.col("tfidf"), 2).alias("tfidf"))
 
 
@@ -236,7 +236,7 @@ def _sentence_pairs(spark, d):
     from provena.operators import retrieval
 
     v = table(spark, d, "embeddings").select("vec_id", "label", F.when(F.expr("vec_id % 5 = 0"), "ru").otherwise("en").alias("lang"), retrieval.unit("embedding").alias("w"))
-    asked = cut(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("sub_id"), F.lit(0).alias("pos"), F.col("w").alias("v"), F.col("lang").alias("sub_lang")))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("sub_id"), F.lit(0).alias("pos"), F.col("w").alias("v"), F.col("lang").alias("sub_lang"))
     pairs = v.crossJoin(small(asked, 20_000)).where("sub_id != vec_id")
     return pairs.select("sub_id", F.col("label").cast("long").alias("doc_id"), "pos", F.col("vec_id").alias("src_pos"), "v", "w", "sub_lang", F.col("lang").alias("src_lang"))
 
