@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import WORD, cut, free_name
+from provena.llm.common import WORD, cut, free_name, held, spent
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -54,8 +54,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     floor(target / source_size) times, and some once more: in the order of the seeded
     hash, as many rows as bring the source's words nearest to its target. The order is
     cut into slices whose sums tell which slices are taken whole; only the slice in
-    which the target falls is dealt row by row. Rows with the same id are dealt alike,
-    and reruns agree. A source of size 0 has target 0 and its rows are taken 0 times. An empty
+    which the target falls is dealt row by row. Rows with the same id are dealt alike, and ``mixed_documents`` takes
+    each as often as the one of them that is taken most; reruns agree. A source of size 0 has target 0 and its rows are taken 0 times. An empty
     table gives no row.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_key(F.col(id_col), seed).alias("key"))
@@ -85,7 +85,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ran = shared.withColumn("upto", F.sum("sum").over(within) - F.col("sum")).join(marked.select(F.col("s"), "before", "more"), F.col("source").eqNullSafe(F.col("s"))).where(F.col("before") + F.col("upto") + F.col("sum") / 2 <= F.col("more")).select(F.col("source").alias("ws"), F.col("key").alias("wk"), F.lit(1).alias("won"))
     done = rows.join(ran, (F.col("key") == F.col("wk")) & F.col("source").eqNullSafe(F.col("ws")) & (F.col("slice") == F.col("cut_at")), "left")
     extra = F.when(F.col("slice") == F.col("cut_at"), F.coalesce("won", F.lit(0))).when(F.col("cut_at").isNotNull(), (F.col("slice") < F.col("cut_at")).cast("int")).otherwise((F.col("slice") <= F.coalesce("last", F.lit(-1))).cast("int"))
-    return done.select("id", "key", "source", "size", "source_size", F.col("target"), (F.col("full") + F.when(F.col("more") > 0, extra).otherwise(0)).alias("reps"))
+    out = held(done.select("id", "key", "source", "size", "source_size", F.col("target"), (F.col("full") + F.when(F.col("more") > 0, extra).otherwise(0)).alias("reps")))
+    spent(base, slices, table, edge, marked)
+    return out
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS, seed: int = 17) -> DataFrame:
