@@ -20,10 +20,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TOP_K = 2
 #: Sharpness of the distribution over segmentations.
 ALPHA = 1.0
-#: Lattice edges that a worker remembers.
-REMEMBERED = 2_000_000
+#: Lattice edges that a worker remembers; with more it builds fewer lattices again and takes more memory.
+REMEMBERED = 3_000_000
 #: Code points that are sampled in one go (one text may hold more).
-TOGETHER = 200_000
+TOGETHER = 300_000
 SPACE = "▁"
 #: Stands for a literal U+2581 among code points.
 LITERAL = 0x110000
@@ -80,9 +80,9 @@ class Vocabulary:
             left = np.tile(np.arange(length, 0, -1), len(same))
             *_, (_, h) = (x for x, _ in zip(prefix_hashes(chars, left), range(length), strict=False))
             order = np.argsort(h)
-            seen = np.zeros(1 << 18, bool)
-            seen[(h >> np.uint64(46)).astype(np.int64)] = True
-            self.tables[length] = (h[order], np.array([self.ids[p] for p in same])[order], seen)
+            # where the hashes with each value of the top bits begin
+            begin = np.searchsorted(h[order] >> np.uint64(46), np.arange((1 << 18) + 1, dtype=np.uint64)).astype(np.int32)
+            self.tables[length] = (h[order], np.array([self.ids[p] for p in same])[order], begin)
 
     def matches(self, chars: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By length: the places at which a piece of it stands, and the piece."""
@@ -91,12 +91,19 @@ class Vocabulary:
                 if length == 1:
                     yield length, np.empty(0, np.int64), np.empty(0, np.int64)
                 continue
-            keys, ids, seen = self.tables[length]
-            likely = np.flatnonzero(seen[(h >> np.uint64(46)).astype(np.int64)])
-            place, h = place[likely], h[likely]
-            at = np.searchsorted(keys, h)
-            hit = keys[np.minimum(at, len(keys) - 1)] == h
-            yield length, place[hit], ids[at[hit]]
+            keys, ids, begin = self.tables[length]
+            top = (h >> np.uint64(46)).astype(np.int64)
+            at, end = begin[top], begin[top + 1]
+            some = np.flatnonzero(at < end)
+            place, h, at, end = place[some], h[some], at[some], end[some]
+            found = keys[at] == h
+            # few hashes share their top bits; those that do are looked at in turn
+            more = np.flatnonzero(~found & (at + 1 < end))
+            while len(more):
+                at[more] += 1
+                found[more] = keys[at[more]] == h[more]
+                more = more[~found[more] & (at[more] + 1 < end[more])]
+            yield length, place[found], ids[at[found]]
 
     def _parts(self) -> re.Pattern:
         """Cuts texts where no piece of this vocabulary reaches across: before spaces, around
@@ -134,17 +141,29 @@ class Vocabulary:
         return self.spell(np.asarray(ids, np.int64))[1:].decode("utf-8", "surrogatepass")
 
 
+class _Numbers(dict):
+    """Numbers units as they are first asked for; ``new`` has those since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str | None] = []
+
+    def __missing__(self, unit: str | None) -> int:
+        self[unit] = n = len(self)
+        self.new.append(unit)
+        return n
+
+
 class Lattices:
     """Lattices of the units met so far. An edge of a node is taken with the share of
     the segmentations' total weight that goes through it (backward sums), so that going
     from node to node draws whole segmentations exactly."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED) -> None:
+        self.v, self.remembered = vocabulary, remembered
         self._forget()
 
     def _forget(self) -> None:
-        self.start: dict[str | None, int] = {}
+        self.numbers, self.starts = _Numbers(), np.zeros(1 << 14, np.int32)
         self.n_nodes = self.n_edges = 0
         self.first, self.last = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.cum = np.zeros(1 << 15)
@@ -162,16 +181,17 @@ class Lattices:
 
     def nodes_of(self, texts_units: list[list[str | None]]) -> list[np.ndarray]:
         """The start node of each unit; units not met before get their lattices first."""
-        if self.n_edges > REMEMBERED:
+        if self.n_edges > self.remembered:
             self._forget()
-        new = set().union(*texts_units).difference(self.start)
-        if new:
-            self._build(list(new))
-        get = self.start.__getitem__
-        return [np.fromiter(map(get, u), np.int32, len(u)) for u in texts_units]
-
-    def _build(self, new: list[str | None]) -> None:
-        """Lattices of many units at once, their code points laid end to end."""
+        get, known = self.numbers.__getitem__, len(self.numbers)
+        asked = [np.fromiter(map(get, u), np.int32, len(u)) for u in texts_units]
+        if self.numbers.new:
+            self._build(self.numbers.new, known)
+            self.numbers.new = []
+        return [self.starts[x] for x in asked]
+
+    def _build(self, new: list[str | None], number: int) -> None:
+        """Lattices of many units at once, their code points laid end to end; the first has ``number``."""
         lens = np.fromiter((1 if w is None else len(w) for w in new), np.int64, len(new))
         chars = np.frombuffer("".join(SPACE if w is None else w for w in new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         ends = np.cumsum(lens)
@@ -179,7 +199,7 @@ class Lattices:
         for k, w in enumerate(new):
             if w is None:
                 chars[starts[k]] = LITERAL
-        self.start.update(zip(new, (starts + base).tolist(), strict=True))
+        self._put("starts", number, (starts + base).astype(np.int32))
         left = np.repeat(ends, lens) - np.arange(n)  # code points up to the unit's end
         src, size, piece, weight = [], [], [], []
         for length, place, found in self.v.matches(chars, left):
@@ -326,8 +346,8 @@ class Sampler:
     the inclusion scores.
     """
 
-    def __init__(self, vocabulary: Vocabulary, k: int = TOP_K, seed: int = 23) -> None:
-        self.lat, self.v, self.k, self.seed = Lattices(vocabulary), vocabulary, k, seed
+    def __init__(self, vocabulary: Vocabulary, k: int = TOP_K, seed: int = 23, remembered: int = REMEMBERED) -> None:
+        self.lat, self.v, self.k, self.seed = Lattices(vocabulary, remembered), vocabulary, k, seed
 
     def __call__(self, texts: list[str], keys: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k of (ids, log probability, value, log inclusion), best first.
@@ -434,20 +454,21 @@ def _log_inclusion(x: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(x))))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = TOP_K, seed: int = 23, path: str = MODEL, alpha: float = ALPHA) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = TOP_K, seed: int = 23, path: str = MODEL, alpha: float = ALPHA, remembered: int = REMEMBERED) -> DataFrame:
     """``(doc_id, n_pieces, segmentations, decodes)`` of whole texts.
 
     segmentations holds up to k distinct ones, best value first: ``ids``, ``logp``,
     ``value``, ``inclusion`` (its logarithm as ``log_inclusion``). n_pieces is the first
     one's length, and decodes tells that all give back the text. The row key that seeds
     the draws is the id; a null id counts as -1. A null or empty text has one empty
-    segmentation. Equal rows give equal results on every run.
+    segmentation. Equal rows give equal results on every run, whatever ``remembered``,
+    which only trades memory for time.
     """
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("logp", pa.float64()), ("value", pa.float64()), ("inclusion", pa.float64()), ("log_inclusion", pa.float64())])
     out = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("segmentations", pa.list_(kind)), ("decodes", pa.bool_())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(Vocabulary(path, alpha), k, seed)
+        sampler = Sampler(Vocabulary(path, alpha), k, seed, remembered)
         spell = sampler.v.spell
 
         def done(ids: list, texts: list[str]) -> pa.RecordBatch:

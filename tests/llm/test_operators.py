@@ -423,7 +423,7 @@ def test_no_piece_reaches_across_units(vocabulary):
 def test_pieces_do_not_depend_on_texts_met_before(vocabulary):
     rng = random.Random(8)
     texts = [text_of(rng, rng.randint(1, 400)) + " ünï \n\x00 " + str(i) for i in range(60)]
-    used = pieces.Sampler(vocabulary, 2)
+    used = pieces.Sampler(vocabulary, 2, remembered=500)
     used([text_of(rng, 5_000)], [99])
     together = used(texts, list(range(60)))
     for i in range(60):
