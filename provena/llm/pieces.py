@@ -21,7 +21,7 @@ TOP_K = 2
 #: Sharpness of the distribution over segmentations.
 ALPHA = 1.0
 #: Lattice edges that a worker remembers; with more it builds fewer lattices again and takes more memory.
-REMEMBERED = 3_000_000
+REMEMBERED = 4_000_000
 #: Code points that are sampled in one go (one text may hold more).
 TOGETHER = 300_000
 SPACE = "▁"
