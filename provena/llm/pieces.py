@@ -454,15 +454,15 @@ def _log_inclusion(x: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(x))))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = TOP_K, seed: int = 23, path: str = MODEL, alpha: float = ALPHA, remembered: int = REMEMBERED) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = TOP_K, seed: int = 23, path: str = MODEL, alpha: float = ALPHA, remembered: int = REMEMBERED, together: int = TOGETHER) -> DataFrame:
     """``(doc_id, n_pieces, segmentations, decodes)`` of whole texts.
 
     segmentations holds up to k distinct ones, best value first: ``ids``, ``logp``,
     ``value``, ``inclusion`` (its logarithm as ``log_inclusion``). n_pieces is the first
     one's length, and decodes tells that all give back the text. The row key that seeds
     the draws is the id; a null id counts as -1. A null or empty text has one empty
-    segmentation. Equal rows give equal results on every run, whatever ``remembered``,
-    which only trades memory for time.
+    segmentation. Equal rows give equal results on every run, whatever ``remembered``
+    and ``together``, which only trade memory for time.
     """
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("logp", pa.float64()), ("value", pa.float64()), ("inclusion", pa.float64()), ("log_inclusion", pa.float64())])
     out = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("segmentations", pa.list_(kind)), ("decodes", pa.bool_())])
@@ -488,7 +488,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             ids, texts, n = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = t.as_py() or ""
-                if ids and n + len(t) > TOGETHER:
+                if ids and n + len(t) > together:
                     yield done(ids, texts)
                     ids, texts, n = [], [], 0
                 ids.append(i)
