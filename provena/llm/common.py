@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from provena.tables import cut, held, meet, shared_dir, small, spent, spread
 
-__all__ = ["Union", "bucket_of", "by_group", "columns_of", "cut", "free_name", "held", "meet", "mix64", "runs", "share", "shared_dir", "slices", "small", "spent", "spread"]
+__all__ = ["Union", "bucket_of", "by_group", "columns_of", "cut", "free_name", "freed", "held", "meet", "mix64", "runs", "share", "shared_dir", "slices", "small", "spent", "spread"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +36,20 @@ def share(seed: int, *cols) -> F.Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11)).cast("double") / F.lit(float(1 << 53))
 
 
+def freed(go: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``go`` for ``mapInArrow``, after which a worker gives the memory it doesn't use back to the
+    system, so that workers that wait for the next stage hold little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from go(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of a few rows, so that little is held of them at once."""
     for b in batches:
@@ -108,7 +123,7 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarra
         if kept:
             yield _batch(kept, arrow)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(freed(go), schema)
 
 
 def _batch(parts: list[dict], arrow: pa.Schema) -> pa.RecordBatch:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import mix64, share, slices
+from provena.llm.common import freed, mix64, share, slices
 
 #: Documents that a model is fitted on, at most (about as many of each language).
 FIT_DOCS = 6_000
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array(list(got)), pa.array(list(got.values()), pa.int64())], schema=out)
 
     by_lang = [F.sum(F.when(F.col("l") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
-    units = chosen.mapInArrow(go, "l string, unit string, n long").groupBy("unit").agg(*by_lang, F.sum("n").alias("n")).where(F.col("n") >= FIT_COUNT)
+    units = chosen.mapInArrow(freed(go), "l string, unit string, n long").groupBy("unit").agg(*by_lang, F.sum("n").alias("n")).where(F.col("n") >= FIT_COUNT)
     got = units.drop("n").toArrow().sort_by("unit")
     return LanguageModel(langs, got.column("unit").to_pylist(), np.stack([got.column(f"c{i}").to_numpy() for i in range(len(langs))], axis=1))
 
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             got = score.many(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema=out)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(go, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(freed(go), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -232,4 +232,4 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", le
             got = score.many(b.column(at).to_pylist())
             yield b.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
 
-    return docs.mapInArrow(go, docs.schema)
+    return docs.mapInArrow(freed(go), docs.schema)

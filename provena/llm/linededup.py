@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from provena.llm.common import cut, free_name, held, mix64, small, spent
+from provena.llm.common import cut, free_name, freed, held, mix64, small, spent
 
 #: White space that is left out of a line's ends.
 BLANK = " \t\n\x0b\x0c\r"
@@ -104,7 +104,7 @@ def _variants(near: DataFrame) -> DataFrame:
                 for a in range(0, len(key), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(tag[a : a + 100_000])], schema=out)
 
-    return near.select("nid", "line", "sides").mapInArrow(go, "key long, tag long")
+    return near.select("nid", "line", "sides").mapInArrow(freed(go), "key long, tag long")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

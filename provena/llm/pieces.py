@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import mix64, slices
+from provena.llm.common import freed, mix64, slices
 
 #: Where the model lies on every machine.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -498,7 +498,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                 yield done(ids, texts)
 
     schema = "doc_id long, n_pieces long, segmentations array<struct<ids:array<int>,logp:double,value:double,inclusion:double,log_inclusion:double>>, decodes boolean"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(go, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(freed(go), schema)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", path: str = MODEL) -> DataFrame:
@@ -511,4 +511,4 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", path: str = MODEL) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([vocabulary.decode(x.as_py()) for x in b.column(2)], pa.string())], schema=out)
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode("segmentations").alias("p", "s"))
-    return rows.select("doc_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("s.ids").alias("ids")).mapInArrow(go, "doc_id long, rank int, text string")
+    return rows.select("doc_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("s.ids").alias("ids")).mapInArrow(freed(go), "doc_id long, rank int, text string")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import Union, by_group, cut, held, meet, share, slices, small, spent
+from provena.llm.common import Union, by_group, cut, freed, held, meet, share, slices, small, spent
 from provena.llm.components import components
 
 #: Reference points: about two for each root of the number of vectors, within these bounds and
@@ -85,7 +85,7 @@ def describe(units: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * lists.shape[1]), pa.array(lists.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(err), pa.array([r.tobytes() for r in near], pa.binary()), listed], schema=out)
 
-    return units.select("rep", "n", "v").mapInArrow(go, "rep long, n long, q binary, err double, near binary, list array<long>")
+    return units.select("rep", "n", "v").mapInArrow(freed(go), "rep long, n long, q binary, err double, near binary, list array<long>")
 
 
 def _tile_links(cosine: float):

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import Union, by_group, cut, held, meet, mix64, share, slices, small, spent
+from provena.llm.common import Union, by_group, cut, freed, held, meet, mix64, share, slices, small, spent
 from provena.llm.components import components
 
 #: Distinct fingerprints that a shard of the tree is meant to own, and how many of them are sampled to
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((simhash(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], schema=out)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(go, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freed(go), "doc_id long, fp long")
 
 
 class ShardTree:
@@ -251,7 +251,7 @@ def link(fps: DataFrame, shard: int = SHARD, sampled: int = SAMPLED, leaf: int =
             rows, shards = tree.value.route(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(fp[rows]), pa.array(rep[rows])], schema=out)
 
-    dealt = fps.select("fp", "rep").mapInArrow(go, "shard int, fp long, rep long")
+    dealt = fps.select("fp", "rep").mapInArrow(freed(go), "shard int, fp long, rep long")
     return cut(by_group(dealt, ["shard"], _shard_links(RADIUS, leaf), "a long, b long"))
 
 
@@ -289,7 +289,7 @@ def _common(texts: DataFrame, k: int) -> np.ndarray:
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), k).view(np.int64))], names=["h"])
 
-    some = texts.where(share(17, "text") < COMMON_SAMPLE / max(1, n)).select("text").mapInArrow(go, "h long")
+    some = texts.where(share(17, "text") < COMMON_SAMPLE / max(1, n)).select("text").mapInArrow(freed(go), "h long")
     got = some.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(50_000)
     return np.sort(np.array([r[0] for r in got.collect()], np.int64).view(np.uint64))
 
@@ -413,7 +413,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = ((len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in sets)
         return pa.array([s >= least * (n - s) - 1e-9 for s, n in found], pa.bool_())
 
-    rows = cut(texts.mapInArrow(go, "doc_id long, sh long, f0 long, f1 long, f2 long, f3 long, n long, prefix array<long>"))
+    rows = cut(texts.mapInArrow(freed(go), "doc_id long, sh long, f0 long, f1 long, f2 long, f3 long, n long, prefix array<long>"))
     sets = cut(rows.groupBy("sh").agg(F.min("doc_id").alias("rep"), *(F.first(f).alias(f) for f in FPS), F.first("n").alias("size"), F.count("*").alias("n")))
     one = rows.join(sets.select("sh", F.col("rep").alias("doc_id")), ["sh", "doc_id"], "left_semi").select("sh", "prefix")
     keys = one.select(F.explode("prefix").alias("key"), "sh")
@@ -424,7 +424,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def fetched(which: DataFrame) -> DataFrame:
         """The whole sets of ``sh``, read from the texts of their first documents."""
         need = cut(sets.join(which, "sh", "left_semi").select(F.col("rep").alias("doc_id")))
-        full = cut(texts.join(small(need), "doc_id", "left_semi").select("text").mapInArrow(whole, "sh long, shingles binary").dropDuplicates(["sh"]))
+        full = cut(texts.join(small(need), "doc_id", "left_semi").select("text").mapInArrow(freed(whole), "sh long, shingles binary").dropDuplicates(["sh"]))
         spent(need)
         return full
 
