@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,8 +25,11 @@ RADIUS = 2
 #: Near copies of the pipeline: words of a shingle, and the least Jaccard similarity of two sets of shingles.
 COPY_WORDS, COPY_LEAST = 5, 0.8
 #: Differing bits of 256 beyond which two sets aren't compared. At similarity 0.8 a bit differs with odds of at most
-#: 0.152, so 39 are expected and, were bits independent, over 68 in one of three million pairs (not measured).
-COPY_RADIUS = 68
+#: 0.1875 (four shingles of five; 0.162 for any other sizes with up to 89 in common, by enumeration), so 48 are expected
+#: and, with independent bits, over 84 in one of 37 million such pairs, of other sizes one of 70 billion.
+COPY_RADIUS = 84
+#: Fingerprints of a branch that are compared with each other outright, each of four words.
+COPY_LEAF = 128
 #: Documents from which common shingles are learnt, and how many must hold one. They only order the shingles.
 COMMON_SAMPLE, COMMON = 4_000, 20
 #: Pairs for each member of a group that are listed and verified one by one; a group with more is compared whole.
@@ -168,19 +171,44 @@ def _labels(near: np.ndarray) -> np.ndarray:
         label = low
 
 
-def vantage_links(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Positions ``(a, b)``, a < b, of fingerprints that are joined by links of ``radius``: their
-    closure is that of all pairs within ``radius``.
+def _apart(fp: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints differ from one; a fingerprint of several words is a row."""
+    d = np.bitwise_count(fp ^ v)
+    return d.astype(np.int64) if fp.ndim == 1 else d.sum(1, dtype=np.int64)
+
+
+def _halves(d: np.ndarray, half: int) -> tuple[float, int] | None:
+    """The radius that leaves least on the larger side, if that is 0.9 of the rows or fewer."""
+    radii = np.unique(np.quantile(d, [0.35, 0.5, 0.65], method="lower")).tolist()
+    most, m = min((max(np.mean(d <= m + half), np.mean(d > m - half)), m) for m in radii)
+    return (most, m) if most <= 0.9 else None
+
+
+def _peels(d: np.ndarray, half: int) -> tuple[float, int] | None:
+    """The radius, of all, that leaves fewest pairs on both sides, if that is 0.98 of them or fewer:
+    where most distances are alike, a vantage point still parts its own cluster from the rest."""
+    upto = np.cumsum(np.bincount(d, minlength=int(d.max()) + 1)) / len(d)
+    m = np.arange(len(upto))
+    near, far = upto[np.minimum(m + half, len(upto) - 1)], 1 - np.where(m < half, 0, upto[np.maximum(m - half, 0)])
+    pairs = near * near + far * far
+    k = int(pairs.argmin())
+    return (pairs[k], k) if pairs[k] <= 0.98 else None
+
+
+def branches(fp: np.ndarray, radius: int, leaf: int = LEAF, seed: int = 7, split: Callable[[np.ndarray, int], tuple[float, int] | None] = _halves) -> Iterator[np.ndarray]:
+    """Positions of fingerprints by branch of a vantage-point search: any two within ``radius``
+    stand together in one branch at least.
 
-    A vantage-point search: a branch is split by the distance to one of its fingerprints,
-    and what lies within half the radius of the boundary goes both ways, so that every
-    pair meets in one of the two (see ``ShardTree``). Branches of up to ``leaf``, and those
-    in which no vantage point leaves either side 0.9 of the rows or fewer, are compared
-    outright, in blocks.
+    A branch is split by the distance to one of its fingerprints, and what lies within half
+    the radius of the boundary goes both ways, so that every pair meets in one of the two
+    (see ``ShardTree``). Branches of up to ``leaf``, and those for which ``split`` finds no
+    radius for any vantage point, are given out as they are.
     """
+    if len(fp) <= leaf:
+        yield np.arange(len(fp))
+        return
     half = (radius + 1) // 2
     rng = np.random.default_rng(seed)
-    got: list[tuple[np.ndarray, np.ndarray]] = []
     todo = [np.arange(len(fp))]
     while todo:
         at = todo.pop()
@@ -188,17 +216,25 @@ def vantage_links(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seed:
         if len(at) > leaf:
             some = fp[at] if len(at) <= 4096 else fp[rng.choice(at, 4096, replace=False)]
             for v in rng.choice(some, 8):
-                d = np.bitwise_count(some ^ v).astype(np.int64)
-                for m in np.unique(np.quantile(d, [0.35, 0.5, 0.65], method="lower")):
-                    most = max(np.mean(d <= m + half), np.mean(d > m - half))
-                    if most <= 0.9 and (best is None or most < best[0]):
-                        best = (most, v, m)
+                got = split(_apart(some, v), half)
+                if got is not None and (best is None or got[0] < best[0]):
+                    best = (*got, v)
         if best is not None:
-            d = np.bitwise_count(fp[at] ^ best[1]).astype(np.int64)
-            near, far = at[d <= best[2] + half], at[d > best[2] - half]
+            d = _apart(fp[at], best[2])
+            near, far = at[d <= best[1] + half], at[d > best[1] - half]
             if max(len(near), len(far)) < len(at):
                 todo += [near, far]
                 continue
+        yield at
+
+
+def vantage_links(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ``(a, b)``, a < b, of fingerprints that are joined by links of ``radius``: their
+    closure is that of all pairs within ``radius``. The rows of each of the ``branches`` are
+    compared outright, in blocks.
+    """
+    got: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in branches(fp, radius, leaf, seed):
         for i in range(0, len(at), 1024):
             for j in range(i, len(at), 1024):
                 x, y = at[i : i + 1024], at[j : j + 1024]
@@ -304,38 +340,44 @@ def wide_simhash(h: np.ndarray) -> list[int]:
     return [x - ((x >> 63) << 64) for x in map(_majority, salted)]
 
 
-def _close(radius: int, least: float):
-    """Of a tile of a group: ``(0, a, b)`` for pairs that may be similar and aren't yet in one
-    component or, if these are more than ``LISTED`` for each member, ``(1, a, b)`` that joins
-    the members concerned to one of them."""
+def _close(radius: int, least: float, leaf: int = COPY_LEAF):
+    """Of a tile of a group, searched by vantage points: ``(0, a, b)`` for pairs that may be similar
+    and aren't yet in one component or, if these are more than ``LISTED`` for each member,
+    ``(1, a, b)`` that joins the members concerned to one of them."""
 
     def work(g: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
         comp, n, sh, block = g["comp"], g["n"], g["sh"], g["block"]
-        fps = [g[f] for f in FPS]
+        fps = [g[f].view(np.uint64) for f in FPS]
         one = g["i"][0] == g["j"][0]
-        few: list[tuple[np.ndarray, np.ndarray]] = []
-        count, some = 0, np.zeros(len(sh), bool)
-        step = max(1, 2_000_000 // len(sh))
-        for k in range(0, len(sh), step):
-            x = slice(k, k + step)
-            may = comp[x, None] != comp[None]
-            may &= np.minimum(n[x, None], n[None]) >= least * np.maximum(n[x, None], n[None]) - 1e-9
-            may &= (sh[x, None] < sh[None]) if one else (block[x, None] == g["i"][0]) & (block[None] == g["j"][0])
-            a, b = np.nonzero(may)
-            a += k
-            apart = sum(np.bitwise_count((f[a] ^ f[b]).view(np.uint64)).astype(np.int64) for f in fps)
-            a, b = a[apart <= radius], b[apart <= radius]
-            some[a] = some[b] = True
-            count += len(a)
-            if count <= LISTED * len(sh):
-                few.append((sh[a], sh[b]))
+        most = LISTED * len(sh)
+        few: list[np.ndarray] = []
+        count, some, dense = 0, np.zeros(len(sh), bool), False
+        for at in branches(np.stack(fps, 1), radius, leaf, split=_peels):
+            step = max(1, 2_000_000 // len(at))
+            for k in range(0, len(at), step):
+                x, y = at[k : k + step, None], at[None]
+                may = comp[x] != comp[y]
+                may &= np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9
+                may &= (sh[x] < sh[y]) if one else (block[x] == g["i"][0]) & (block[y] == g["j"][0])
+                a, b = np.nonzero(may)
+                a, b = at[a + k], at[b]
+                apart = sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in fps)
+                a, b = a[apart <= radius], b[apart <= radius]
+                some[a] = some[b] = True
+                if len(a) and not dense:
+                    few.append(a * len(sh) + b)
+                    count += len(a)
+                    if count > most:  # a pair near a boundary is found on both sides
+                        few = [np.unique(np.concatenate(few))]
+                        count = len(few[0])
+                        dense = count > most
         if not count:
             return None
-        if count > LISTED * len(sh):
+        if dense:
             b = sh[some]
             return {"kind": np.ones(len(b), np.int32), "a": np.full(len(b), b.min()), "b": b}
-        a, b = (np.concatenate(c) for c in zip(*few, strict=True))
-        return {"kind": np.zeros(len(a), np.int32), "a": a, "b": b}
+        a, b = np.divmod(np.unique(np.concatenate(few)) if len(few) > 1 else few[0], len(sh))
+        return {"kind": np.zeros(len(a), np.int32), "a": sh[a], "b": sh[b]}
 
     return work
 
@@ -377,14 +419,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(doc_id, first)`` of rows with an id: first is the smallest id that is reachable by
     pairs whose sets of ``k``-word shingles have a Jaccard similarity of ``least`` or more.
 
-    At such a radius the triangle bound of the tree prunes nothing, so pairs come from
-    prefixes: under any order of all shingles, two sets that are similar share one of the
-    first n - ceil(least * n) + 1 of each. Those of similar size and with fingerprints
-    within ``radius`` are verified on the whole sets. First each set is paired with the
-    smallest of each key; what that joins needn't be compared again. Of each key's sets in
-    different components the pairs are then listed, unless they are more than ``LISTED``
-    for each set: such dense groups are gathered to clusters, whose sets are compared
-    whole, block by block, so that no pairs are written for them.
+    At such a radius a tree over all sets parts next to nothing, so it isn't the tree that
+    deals them to shards but their prefixes: under any order of all shingles, two sets that
+    are similar share one of the first n - ceil(least * n) + 1 of each. Each shard's
+    fingerprints are searched by vantage points, and pairs of similar size and within
+    ``radius`` are verified on the whole sets. The first vantage point of a shard is its
+    smallest set; what links to it is one component and needn't be compared again. The rest
+    is split by further vantage points (``branches``), and the pairs in different components
+    are listed, unless they are more than ``LISTED`` for each set: such dense groups are
+    gathered to clusters, whose sets are compared whole, block by block, so that no pairs
+    are written for them.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     common = docs.sparkSession.sparkContext.broadcast(_common(texts, k))

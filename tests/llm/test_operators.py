@@ -147,6 +147,53 @@ def test_near_copies_match_brute_force(spark, monkeypatch, listed, tile, block):
     assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("j", [0, 1])
+def test_near_copies_are_searched_by_vantage_points(monkeypatch, j):
+    """A group's pairs come from the branches of its fingerprints, which lose none and spare most comparisons."""
+    rng = np.random.default_rng(4)
+    bits = np.repeat(rng.integers(0, 2, (12, 256), dtype=np.uint8), 100, axis=0)
+    bits ^= rng.random(bits.shape) < 0.06
+    loose = rng.integers(0, 2, (40, 256), dtype=np.uint8)
+    fp = np.packbits(np.concatenate([bits, loose]), axis=1).view(np.uint64)
+    n = len(fp)
+    tile = {"comp": np.arange(n), "n": np.full(n, 50), "sh": rng.permutation(n) + 7, "block": rng.integers(0, j + 1, n), "i": np.zeros(n, np.int32), "j": np.full(n, j, np.int32)}
+    tile |= {f: fp[:, k].view(np.int64) for k, f in enumerate(simhash.FPS)}
+    sh, block = tile["sh"], tile["block"]
+    near = [(a, b) for a in range(n) for b in np.flatnonzero(np.bitwise_count(fp[a] ^ fp).sum(1) <= 68).tolist() if a != b]
+    want = {(sh[a], sh[b]) for a, b in near if (block[a] < block[b] if j else sh[a] < sh[b])}
+    assert len(want) > 20_000
+    seen = []
+
+    def spy(*args, real=simhash.branches, **kw):
+        for at in real(*args, **kw):
+            seen.append(at)
+            yield at
+
+    monkeypatch.setattr(simhash, "branches", spy)
+    monkeypatch.setattr(simhash, "LISTED", 10**6)
+    got = simhash._close(68, 0.8, leaf=50)(tile)
+    assert set(zip(got["a"].tolist(), got["b"].tolist(), strict=True)) == want and len(got["a"]) == len(want)
+    assert (got["kind"] == 0).all()
+    assert sum(len(at) ** 2 for at in seen) < n * n / 3
+    # a dense group is joined whole: those with a pair, no others
+    monkeypatch.setattr(simhash, "LISTED", 1)
+    got = simhash._close(68, 0.8, leaf=50)(tile)
+    assert (got["kind"] == 1).all() and sorted(got["b"].tolist()) == sorted({x for pair in want for x in pair})
+
+
+def test_near_copies_of_short_texts(spark):
+    """Four shingles of five differ in the most bits of all sizes; the radius of the search must still hold them."""
+    rng = random.Random(17)
+    texts = []
+    while len(texts) < 4:
+        w = text_of(rng, 9).split()
+        a, b = (simhash.wide_simhash(simhash.shingle_set(" ".join(x))) for x in (w, w[:8]))
+        if len(set(w)) == 9 and sum((x ^ y) % 2**64 >> k & 1 for x, y in zip(a, b, strict=True) for k in range(64)) > 68:
+            texts += [" ".join(w), " ".join(w[:8])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id: r.first for r in simhash.near_copies(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
 # Embeddings
 
 
