@@ -86,6 +86,47 @@ def test_winnow(spark, h, w):
     assert set(got) == brute_winnow(h, w) and len(got) == len(set(got))
 
 
+@settings(max_examples=8, deadline=None)
+@given(words=st.lists(st.text("abcdeKİΣéßжяЙ'-1 \u00a0", max_size=9) | st.sampled_from(["kitoblardan", "the", "o'qish", "экономика", "running", "\x1c"]), max_size=40), lang=st.sampled_from(["en", "uz", "ru"]), source=st.booleans())
+def test_prints_match_the_columns(spark, words, lang, source):
+    """Prints are made outside the columns' lambdas and are the same."""
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, lang, text), (2, lang, None)], "doc_id long, lang string, text string")
+    norm = tx.normal_form(F.col("text"), F.col("lang"))
+    want = df.select("doc_id", "lang", F.when(F.lit(source) & (tx.n_words(norm) < 4), F.lower("text")).otherwise(norm).alias("norm"))
+    want = want.withColumn("t", tx.match_tokens(F.col("norm"), F.col("lang")))
+    want = want.select("norm", F.size("t").alias("n_tokens"), *[tx.winnow(F.transform(tx.ngrams(F.col("t"), n), tx.gram_hash), w).alias(f"f{n}") for n, w in sim.SIZES.items()]).where("norm is not null").first()
+    got = {r.doc_id: r for r in sim.prints(df, "doc_id", source).collect()}
+    assert tuple(got[1][c] for c in want.asDict()) == tuple(want)
+    assert got[2].norm is None and got[2].f3 == got[2].f5 == got[2].f7 == []
+    (g,) = sim.with_grams(df.where("doc_id = 1").withColumnRenamed("text", "sentence")).collect() or [None]
+    tokens = df.where("doc_id = 1").select(tx.match_tokens(F.col("text"), F.col("lang"))).first()[0]
+    n = min(5, len(tokens) - 1)
+    assert (g.grams if g else None) == (list(dict.fromkeys(" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1))) if len(tokens) >= 4 else None)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prints_are_made_once(spark):
+    """No lambda hashes grams, and the queries on pairs read stored prints."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert "md5" not in plan_of(sim.prints(docs, "doc_id"))
+    for name in ("winnow_pair_score", "tfidf_pair_cosine"):
+        plan = plan_of(catalog.QUERIES[name](spark, SF))
+        assert "prints" not in plan and "Join" not in plan
+
+
+def test_few_submissions_stay_out_of_shuffles(spark):
+    """What the submissions ask for goes to the corpus, not the corpus's grams over the network."""
+    subs = spark.createDataFrame([(1, "en", "These seven quite ordinary words stand here together.")], "sub_id long, lang string, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    top = spark.createDataFrame([(1, 5)], "sub_id long, doc_id long")
+    for df in (sim.exact_sentences(subs, docs), sim.similar_sentences(subs, docs), sim._aggregate(subs, docs, top), sim.shared_prints(sim.prints(subs, "sub_id"), sim.prints(docs, "doc_id"))):
+        assert "broadcast" in plan_of(df)
+
+
 def test_copies_score_high(spark):
     copy = " ".join(f"{a}{b}ing" for a in ("walk", "talk", "read", "sing", "jump") for b in ("er", "ab", "cd", "ef", "gh", "ij")) + "."
     docs = spark.createDataFrame([(1, "en", copy), (2, "en", "something else entirely stands in this other text.")], "doc_id long, lang string, text string")
