@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.functions import arrays
 from provena.functions import lexicons as lex
 from provena.functions import text as tx
 
@@ -41,7 +42,7 @@ def echo(a: Column) -> Column:
 
 def _base(docs: DataFrame) -> DataFrame:
     sents = tx.feature_sentences(F.col("text"))
-    rows = tx.pinned(docs.select("doc_id", "lang", "text"), sents=sents, w=tx.feature_words(F.col("text")))
+    rows = tx.pinned(docs.select("doc_id", "lang", "text"), sents=sents, w=tx.feature_words(F.col("text")), low=F.lower("text"))
     lens = F.transform("sents", lambda s: tx.n_words(s).cast("double"))
     rows = tx.pinned(rows, lens=F.when(F.size("sents") > 0, lens).otherwise(F.array(F.lit(0.0))))
     return rows.withColumn("n_words", F.greatest(F.size("w"), F.lit(1))).withColumn("n_sents", F.greatest(F.size("sents"), F.lit(1)))
@@ -99,7 +100,7 @@ def features(docs: DataFrame) -> DataFrame:
     wl = F.transform("w", lambda x: F.length(x).cast("double"))
     b = b.withColumn("wl", wl).withColumn("word_len_mean", F.when(F.size("w") > 0, mean(F.col("wl"))).otherwise(F.lit(float("nan"))))
     b = b.withColumn("word_len_std", F.when(F.size("w") > 0, deviation(F.col("wl"))).otherwise(F.lit(float("nan"))))
-    low, lang, sents = F.lower("text"), F.col("lang"), F.col("n_sents")
+    low, lang, sents = F.col("low"), F.col("lang"), F.col("n_sents")
     hits = lambda table: tx.by_lang(lang, {k: tx.contained(low, v) for k, v in table.items()})
     b = b.withColumns({"connector_density": hits(lex.CONNECTORS) / sents, "hedging_density": hits(lex.HEDGES) / sents, "certainty_density": hits(lex.CERTAINTIES) / sents, "formulaic_count": hits(lex.FORMULAS).cast("double")})
     count = lambda p: F.regexp_count("text", F.lit(p))
@@ -111,17 +112,16 @@ def features(docs: DataFrame) -> DataFrame:
     ends = tx.jaccard(F.array_distinct(tx.feature_words(F.element_at("paras", 1))), F.array_distinct(tx.feature_words(F.element_at("paras", -1))))
     b = b.withColumn("intro_concl_sim", F.when(F.size("paras") >= 3, ends).otherwise(0.0))
     b = b.withColumn("contraction_ratio", F.when(lang == "en", count(lex.CONTRACTIONS) / F.col("n_words")).otherwise(0.0))
-    starts = F.transform("sents", lambda s: F.lower(F.element_at(tx.words(s), 1)))
-    b = b.withColumn("starts", F.array_sort(starts))
+    starts = F.transform("sents", lambda s: F.lower(F.regexp_extract(s, f"[^{tx.SPACE[1:-1]}]+", 0)))
+    b = b.withColumn("starts", F.sort_array(starts))
     # in sorted order, the longest run of equal starts
     run = F.aggregate("starts", F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best")), lambda s, x: F.struct(x.alias("last"), F.when(x == s["last"], s["n"] + 1).otherwise(1).alias("n"), F.greatest(s["best"], F.when(x == s["last"], s["n"] + 1).otherwise(1)).alias("best")), lambda s: s["best"])
     b = b.withColumn("start_repetition", F.when(F.size("sents") >= 4, run / sents).otherwise(0.0))
     wrong, right = count(lex.UZ_APOSTROPHES), count("o'") + count("g'")
     uz = lambda x: F.when(lang == "uz", x).otherwise(0.0)
     b = b.withColumns({"uz_apostrophe_error": uz(wrong / F.greatest(right + wrong, F.lit(1))), "uz_hisoblanadi_density": uz(count(lex.UZ_COPULA) / sents), "uz_template_starts": uz(count(lex.UZ_OPENINGS) / F.greatest(F.size("paras"), F.lit(1)))})
-    b = tx.pinned(b, h=F.transform("w", lambda x: F.xxhash64(x)))
-    rows = b.withColumn("mattr", F.coalesce(moving_variety(F.col("h")), "ttr"))
-    rows = rows.withColumn("repeated_trigram_ratio", F.coalesce(repeats(tx.gram_hashes(F.col("h"), 3))["share"], F.lit(0.0)))
+    b = b.withColumn("variety", arrays.variety("w", F.lit(WINDOW)))
+    rows = b.withColumns({"mattr": F.coalesce("variety.mattr", "ttr"), "repeated_trigram_ratio": F.coalesce("variety.again", F.lit(0.0))})
     return rows.select("doc_id", "lang", "text", *[F.col(f).cast("double").alias(f) for f in lex.FEATURES])
 
 
@@ -159,14 +159,14 @@ def perplexity(docs: DataFrame) -> DataFrame:
 def profile(docs: DataFrame, window: int = 3) -> DataFrame:
     """``(doc_id, flatness, periodicity, mean_ppl, n_windows)`` of perplexities over runs of
     three sentences; of fewer than five sentences the whole text's. Words are split once
-    a sentence; a run's are those of its sentences, so a text is read once and stays whole."""
+    a sentence; a run's are those of its sentences, so a text is read once and stays whole.
+    Runs are counted by sorting those of many texts together (``arrays.perplexities``)."""
     rows = tx.pinned(docs.select("doc_id", "text"), s=tx.feature_sentences(F.col("text")))
     n = F.size("s")
     rows = rows.withColumn("long", n >= window + 2)
-    rows = tx.pinned(rows, parts=F.when(F.col("long"), F.transform("s", word_hashes)).otherwise(F.array(word_hashes(F.col("text")))))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("parts") - window, F.lit(0))), lambda i: F.concat(*[F.get("parts", i + j) for j in range(window)]))
-    rows = tx.pinned(rows, runs=F.when(F.col("long"), runs).otherwise(F.col("parts")))
-    rows = tx.pinned(rows, p=F.transform("runs", lambda h: F.coalesce(perplexity_from(h), F.lit(50.0)))).withColumn("m", mean(F.col("p")))
+    long = F.coalesce("long", F.lit(False))
+    parts = F.when(long, F.col("s")).otherwise(F.array("text"))
+    rows = tx.pinned(rows, p=arrays.perplexities(parts, F.when(long, window).otherwise(1))).withColumn("m", mean(F.col("p")))
     flat = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - deviation(F.col("p")) / F.col("m")))
     return rows.select(
         "doc_id",

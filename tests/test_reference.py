@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from provena import catalog
+from provena.functions import arrays
 from provena.functions import text as tx
 from provena.operators import accounts, analyze, corpus, detector, features, generation, history, retrieval, web
 from provena.operators import similarity as sim
@@ -332,6 +333,36 @@ def test_moving_variety(spark):
     assert df.select(features.moving_variety(F.col("w")).alias("mattr")).first().mattr == pytest.approx(want)
 
 
+ODD = ["", None, "One two three. Four five six! Seven eight nine? Ten it's eleven. Twelve one two three.", "Так было и есть здесь. " * 9 + "A b c d. İstanbul ΣΑΣ don't. The end of it.", "word " * 60 + ". " + "one two three four. " * 30]
+
+
+def test_counts_match_the_columns(spark):
+    """Perplexity, variety and sentence hashes are counted outside the columns' lambdas, with the same results."""
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    s, w = tx.feature_sentences(F.col("text")), tx.feature_words(F.col("text"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("s") - 3), lambda i: F.array_join(F.slice("s", i + 1, 3), " "))
+    texts = docs.withColumn("s", s).withColumn("runs", F.when(F.size("s") >= 5, runs).otherwise(F.array("text")))
+    want = texts.select("doc_id", F.transform("runs", lambda x: F.coalesce(features.perplexity_from(features.word_hashes(x)), F.lit(50.0))).alias("p"))
+    got = texts.select("doc_id", arrays.perplexities(F.when(F.size("s") >= 5, F.col("s")).otherwise(F.array("text")), F.when(F.size("s") >= 5, 3).otherwise(1)).alias("p"))
+    want = {r.doc_id: r.p for r in want.collect()}
+    assert {r.doc_id: pytest.approx(r.p) for r in got.collect()} == want and max(map(len, want.values())) > 25
+    h = F.transform(w, lambda x: F.xxhash64(x))
+    both = docs.where("text is not null").select(arrays.variety(w, F.lit(50)).alias("x"), features.moving_variety(h).alias("m"), features.repeats(tx.gram_hashes(h, 3))["share"].alias("a"), arrays.sentence_hash("text").alias("h"), tx.sentence_hash(F.col("text")).alias("g"))
+    for r in both.collect():
+        assert r.h == r.g and (r.x.mattr is None) == (r.m is None) and (r.x.again is None) == (r.a is None)
+        assert (r.x.mattr or 0) == pytest.approx(r.m or 0) and (r.x.again or 0) == pytest.approx(r.a or 0)
+    assert {r.doc_id: r.n_windows for r in features.profile(docs).collect()} == {i: len(p) for i, p in want.items()}
+
+
+def test_detector_reads_texts_once(spark):
+    """Runs aren't counted by lambdas, sentences are lower-cased once, adjacent passives all count."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    assert "xxhash64" not in plan_of(features.profile(docs)) and "xxhash64" not in plan_of(features.features(docs))
+    assert plan_of(detector.sentences(docs)).count("lower(") == 1 and plan_of(detector.detect(docs)).count("Join") == 1
+    (f,) = features.features(spark.createDataFrame([(1, "It is inged is heed by them.", "en")], "doc_id long, text string, lang string")).collect()
+    assert f.passive_ratio == 2
+
+
 def test_detect(spark):
     ai = "Furthermore, it is important to note that this clearly plays a crucial role. " * 14
     docs = spark.createDataFrame([(1, ai, "en"), (2, "too few words", "en"), (3, "word " * 12, "en")], "doc_id long, text string, lang string")
