@@ -281,6 +281,24 @@ def test_nearest_in_batches(spark, monkeypatch):
         assert {(r.query_id, r.vec_id) for r in retrieval.nearest(v, q, 5, 0.2, block).collect()} == want
 
 
+def test_best_of_matches_pairs(spark):
+    """Matrix products find what comparing each pair finds: ties, other lengths, null vectors, and
+    one's own sentence left out. The plans compare no pairs row by row."""
+    import numpy as np
+
+    x = np.random.default_rng(5).integers(-2, 3, size=(40, 3)).astype(float)
+    rows = [(i, i % 7, [float(y) for y in r[: 2 if i % 9 == 0 else 3]] if i % 11 else None) for i, r in enumerate(x)]
+    v = spark.createDataFrame(rows, "src_pos long, doc_id long, w array<double>").withColumn("w", retrieval.unit("w")).withColumn("src_lang", F.lit("en"))
+    subs = v.where("src_pos % 5 = 0").select(F.col("src_pos").alias("sub_id"), F.lit(0).alias("pos"), F.col("w").alias("v"), F.lit("ru").alias("sub_lang"), F.col("src_pos").alias("but"))
+    pairs = v.crossJoin(subs).where("src_pos != but and size(v) = size(w)")
+    key = lambda df: sorted((r.sub_id, r.pos, r.doc_id, r.t.cos, r.t.p, r.t.src_lang, r.k) for r in df.collect())
+    got = key(sim.best_of(subs, v))
+    assert got == key(sim.best_sources(pairs)) and len(got) > 30
+    for name in ("semantic_pair_match", "semantic_best_source"):
+        plan = plan_of(catalog.QUERIES[name](spark, SF))
+        assert "MapInArrow" in plan and "Join Cross" not in plan
+
+
 def test_thresholds_and_risks(spark):
     n = spark.createDataFrame([(99,), (100,), (800,), (801,)], "n int")
     got = [[r[0] for r in n.select(sim.threshold(F.col("n"), F.lit(k))).collect()] for k in ("uz", "ru", "en", "fr")]
