@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.functions import arrays
 from provena.functions import text as tx
 
 LEAST_WORDS = 20
@@ -26,7 +27,8 @@ def quality(c: Column) -> Column:
 
 def scored(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_words``, ``quality`` and ``fingerprint``."""
-    return docs.withColumns({"n_words": F.coalesce(tx.n_words(F.col("text")), F.lit(0)), "quality": quality(F.col("text")), "fingerprint": tx.fingerprint(F.coalesce("text", F.lit("")))})
+    rows = tx.pinned(docs, scores_=arrays.scores("text"))
+    return rows.select(*docs.columns, "scores_.*")
 
 
 def grade(q: Column) -> Column:
@@ -46,7 +48,7 @@ def admitted(docs: DataFrame) -> DataFrame:
     rows = scored(docs).where("quality > 0")
     firsts = rows.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "quality")).alias("at")).select("at.doc_id", "at.quality")
     texts = docs.select("doc_id", "text", "lang").join(firsts, "doc_id")
-    return tx.pinned(texts, tokens=tx.index_tokens(F.col("text"))).where(F.size("tokens") >= 10)
+    return tx.pinned(texts, tokens=arrays.index_tokens("text")).where(F.size("tokens") >= 10)
 
 
 def audit(docs: DataFrame, *keys: str) -> DataFrame:

@@ -372,6 +372,20 @@ def test_counts_match_the_columns(spark):
     assert {r.doc_id: r.n_windows for r in features.profile(docs).collect()} == {i: len(p) for i, p in want.items()}
 
 
+def test_scores_and_postings_match_the_columns(spark):
+    """Quality, fingerprints, tokens and their counts aren't made by lambdas, and are the same."""
+    more = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)) for n in (19, 20, 150, 400)] + ["12345678 " * 30, "ab " * 50, "Zażółć, gęślą-jaźń! " * 9 + "x y zz. И ещё слова."]
+    docs = spark.createDataFrame(list(enumerate(ODD + more)), "doc_id long, text string")
+    c = F.col("text")
+    want = docs.select("doc_id", F.coalesce(tx.n_words(c), F.lit(0)).alias("n_words"), corpus.quality(c).alias("quality"), tx.fingerprint(F.coalesce(c, F.lit(""))).alias("fingerprint"))
+    assert sorted(corpus.scored(docs).drop("text").collect()) == sorted(want.collect())
+    rows = docs.where("text is not null").select("doc_id", tx.index_tokens(c).alias("want"), arrays.index_tokens(c).alias("tokens"))
+    assert all(r.want == r.tokens for r in rows.collect())
+    counted = rows.select("doc_id", F.explode(tx.tally(F.col("want"))).alias("x")).select("doc_id", "x.v", "x.n")
+    post = retrieval.postings(rows).select("doc_id", "term", "tf")
+    assert sorted(map(tuple, post.collect())) == sorted(map(tuple, counted.collect())) and "lambda" not in plan_of(post) + plan_of(corpus.scored(docs))
+
+
 def test_detector_reads_texts_once(spark):
     """Runs aren't counted by lambdas, sentences are lower-cased once, adjacent passives all count."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
