@@ -41,7 +41,7 @@ def echo(a: Column) -> Column:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    sents = tx.feature_sentences(F.col("text"))
+    sents = tx.split_sentences(F.col("text"))
     rows = tx.pinned(docs.select("doc_id", "lang", "text"), sents=sents, w=tx.feature_words(F.col("text")), low=F.lower("text"))
     lens = F.transform("sents", lambda s: tx.n_words(s).cast("double"))
     rows = tx.pinned(rows, lens=F.when(F.size("sents") > 0, lens).otherwise(F.array(F.lit(0.0))))
@@ -161,7 +161,7 @@ def profile(docs: DataFrame, window: int = 3) -> DataFrame:
     three sentences; of fewer than five sentences the whole text's. Words are split once
     a sentence; a run's are those of its sentences, so a text is read once and stays whole.
     Runs are counted by sorting those of many texts together (``arrays.perplexities``)."""
-    rows = tx.pinned(docs.select("doc_id", "text"), s=tx.feature_sentences(F.col("text")))
+    rows = tx.pinned(docs.select("doc_id", "text"), s=tx.split_sentences(F.col("text")))
     n = F.size("s")
     rows = rows.withColumn("long", n >= window + 2)
     long = F.coalesce("long", F.lit(False))

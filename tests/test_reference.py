@@ -369,6 +369,10 @@ def test_counts_match_the_columns(spark):
     for r in both.collect():
         assert r.h == r.g and (r.x.mattr is None) == (r.m is None) and (r.x.again is None) == (r.a is None)
         assert (r.x.mattr or 0) == pytest.approx(r.m or 0) and (r.x.again or 0) == pytest.approx(r.a or 0)
+    odd = docs.withColumn("text", F.concat(F.lit("\x1c A b c.\u00a0 D e f…\x85g h i j!?  k. "), "text", F.lit(" . .")))
+    for least, ends in ((3, ".!?…"), (4, ".!?")):
+        for r in odd.unionByName(docs).select(tx.split_sentences(F.col("text"), least, ends).alias("a"), tx.sentences(F.col("text"), least, ends).alias("b")).collect():
+            assert r.a == r.b
     assert {r.doc_id: r.n_windows for r in features.profile(docs).collect()} == {i: len(p) for i, p in want.items()}
 
 
